@@ -8,7 +8,9 @@ texts doesn't need several copies of itself in a Python worker.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -40,11 +42,16 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def store(df: DataFrame, kind: str = "table") -> DataFrame:
+def store(df: DataFrame, kind: str = "table", release: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost
-    executor costs a re-read instead of a recomputation."""
+    executor costs a re-read instead of a recomputation. ``release``: also waits until the shuffle
+    files of the step are given back, which Spark does once nothing on the driver refers to them."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
+    for _ in range(2 * release):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

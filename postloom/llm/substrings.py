@@ -5,9 +5,10 @@ starts in a document with a smaller doc_id; windows are judged on the input.
 
 1. Anchors. Of the GRAM-word grams in a window the one of least hash is its anchor; equal windows
    have equal anchors, and neighbouring windows mostly share theirs, so a document has about two
-   anchors in eleven words. Anchors are shuffled and sorted by hash, and those met in one row
-   only drop out while they stream past.
-2. Segments. Around each anchor left, the words of all windows that it anchors are one segment.
+   anchors in ten words. Anchors are shuffled and sorted by hash, and those met in one text only
+   drop out while they stream past.
+2. Segments. A text that occurs several times counts once, for its smallest doc_id; its copies
+   lose every window as a whole. Around each anchor left, the words of all windows that it anchors are one segment.
    Equal segments are merged before the shuffle, with the smallest doc_id of their documents, so
    that a passage that a third of all documents share becomes one row.
 3. Automata. Segments are sharded by anchor. A shard confirms which windows recur, compiles their
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import documents, rows_of, store
 
 WINDOW = 13
-GRAM = 4
+GRAM = 5
 #: Segments that a worker compiles into one automaton, unless one anchor has more.
 BLOCK = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +119,7 @@ def segments(rows: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    found = rows.join(recurring(rows.select("uid", "text").distinct()), "uid")
+    found = rows.join(recurring(rows), "uid")
     return found.mapInArrow(cut, "uid long, doc_id long, anchor long, first int, n int, words binary").withColumn("key", F.xxhash64("words"))
 
 
@@ -158,12 +159,22 @@ class Block:
 
 def owners(found: DataFrame) -> DataFrame:
     """(anchor, key, owners): for each distinct segment the smallest doc_id with each window."""
-    merged = found.groupBy("anchor", "key").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Before the shuffle: one row for equal segments of a batch, with the smallest doc_id."""
+        for batch in batches:
+            anchor, key, doc = (batch.column(c).to_numpy() for c in ("anchor", "key", "doc_id"))
+            order = np.lexsort((doc, key, anchor))
+            a, k = anchor[order], key[order]
+            first = np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])]) if len(order) else np.zeros(0, bool)
+            yield batch.take(pa.array(order[first]))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks end where an anchor ends. An anchor with more segments than BLOCK goes on in the
-        next; as its segments come by ascending doc_id, owners found before stay right."""
+        next; as its segments come by ascending doc_id, owners found before stay right. Of equal
+        segments the first is enough."""
         rows: list[tuple[int, int, int, bytes]] = []
+        last, seen = None, set()
         block = Block()
 
         def flush(part: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -172,6 +183,11 @@ def owners(found: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "key", "doc_id", "words")], strict=True):
+                if row[0] != last:
+                    last, seen = row[0], set()
+                if row[1] in seen:
+                    continue
+                seen.add(row[1])
                 if len(rows) >= BLOCK:
                     yield flush(rows)
                     if row[0] != rows[-1][0]:
@@ -181,24 +197,30 @@ def owners(found: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return merged.repartition("anchor").sortWithinPartitions("anchor", "doc_id").select("anchor", "key", "doc_id", "words").mapInArrow(locate, "anchor long, key long, owners array<long>")
+    merged = found.select("anchor", "key", "doc_id", "words").mapInArrow(merge, "anchor long, key long, doc_id long, words binary")
+    return merged.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(locate, "anchor long, key long, owners array<long>")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(row, kept, n_words, n_removed) for every row of docs: the row as a struct, the words kept
-    (joined by one space) and the counts."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    (joined by one space) and the counts. Equal texts are told by their 64-bit hash."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("uid"))
     named = rows.filter("doc_id IS NOT NULL").select("uid", "doc_id", "text")
-    found = store(segments(named), "segments")
+    firsts = store(named.groupBy("uid").agg(F.min("doc_id").alias("first_id")), "texts")
+    once = named.join(firsts, "uid").filter("doc_id = first_id").drop("first_id")
+    found = store(segments(once), "segments", release=True)
     told = found.select("uid", "doc_id", "anchor", "key", "first").join(owners(found), ["anchor", "key"])
     gone = F.expr("transform(filter(transform(owners, (o, i) -> struct(o < doc_id AS gone, first + i AS at)), x -> x.gone), x -> x.at)")
-    starts = told.select("uid", gone.alias("at")).filter("size(at) > 0").groupBy("uid").agg(F.flatten(F.collect_set("at")).alias("starts"))
+    starts = store(told.select("uid", gone.alias("at")).filter("size(at) > 0").groupBy("uid").agg(F.flatten(F.collect_set("at")).alias("starts")), "starts")
+    marks = firsts.join(starts, "uid", "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, gone = [], [], []
-            for text, at in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, at, copy in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
                 words = (text or b"").split()
+                if copy and len(words) >= WINDOW:
+                    at = range(0, len(words), WINDOW)
                 stay = np.ones(len(words), bool)
                 for s in at or ():
                     stay[s : s + WINDOW] = False
@@ -208,7 +230,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 gone.append(len(words) - len(left))
             yield pa.record_batch([batch.column("row"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "kept", "n_words", "n_removed"])
 
-    joined = rows.join(starts, "uid", "left").select("row", "text", "starts")
+    copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)).alias("copy")
+    at = F.when(F.col("doc_id").isNotNull(), F.col("starts")).alias("starts")
+    joined = rows.join(marks, "uid", "left").select("row", "text", at, copy)
     row = rows.schema["row"].dataType.simpleString()
     return joined.mapInArrow(apply, f"row {row}, kept string, n_words long, n_removed long")
 
