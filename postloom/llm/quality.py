@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, rows_of, store
-from .words import LOWER, UPPER, word_list
+from .words import LOWER, UPPER
 
 SAMPLE = 8_000
 BITS = 16
@@ -34,47 +34,48 @@ KEEP = 0.5
 PASSES = 6
 #: Words of a worker whose features are remembered.
 KNOWN = 300_000
-MARKS = "!\"#$%&()*+/:;<=>?@[]^_`{|}~"
-
-
-def between(x: Column, good: tuple[float, float], bad_below: float, bad_above: float) -> Column:
-    return F.when(x.between(*good), 1).when((x < bad_below) | (x > bad_above), -1).otherwise(0).cast("int")
-
-
-def votes(docs: DataFrame) -> DataFrame:
-    """Adds ``votes``, one of -1, 0, 1 for each labeller. A labeller that has nothing to go by
-    (too few words or lines) abstains."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.greatest(F.length(text), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
-
-    def of_words(w: Column) -> Column:
-        n = F.size(w)
-        many = F.greatest(n, F.lit(1))
-        short = F.size(F.filter(w, lambda x: F.length(x) <= 3)) / many
-        stops = F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "?", "!"))) / many
-        distinct = F.size(F.array_distinct(w)) / many
-        told = F.size(F.filter(w, lambda x: F.length(F.translate(x, MARKS, "")) == 0)) / many
-        return F.struct(
-            F.when(n >= 30, 1).when(n < 5, -1).otherwise(0).cast("int").alias("length"),
-            F.when(n < 10, 0).otherwise(between(short, (0.2, 0.7), 0.1, 0.85)).alias("short_words"),
-            F.when(n < 20, 0).otherwise(between(stops, (0.02, 0.2), 0.005, 0.4)).alias("sentences"),
-            F.when((n < 50) | (n > 2000), 0).otherwise(between(distinct, (0.4, 1.0), 0.25, 2.0)).alias("variety"),
-            F.when(n < 10, 0).otherwise(between(told, (0.0, 0.01), -1.0, 0.08)).alias("loose_marks"),
-            F.when(n < 10, 0).otherwise(between(F.length(text) / many, (3.5, 8.5), 2.5, 11.0)).alias("word_length"),
-        )
-
-    def of_lines(x: Column) -> Column:
-        return F.when(F.size(x) < 3, 0).otherwise(between(F.size(F.array_distinct(x)) / F.size(x), (0.95, 1.0), 0.7, 2.0))
-
-    marks = (F.length(text) - F.length(F.translate(text, MARKS, ""))) / size
-    upper = (F.length(text) - F.length(F.translate(text, UPPER, ""))) / F.greatest(F.length(text) - F.length(F.translate(text, UPPER + LOWER, "")), F.lit(1))
-    # Words and lines are bound to a lambda's variable, so that each is made once.
-    from_words = F.element_at(F.transform(F.array(word_list(F.col("text"))), of_words), 1)
-    from_lines = F.element_at(F.transform(F.array(lines), of_lines), 1)
-    fields = ["length", "short_words", "sentences", "variety", "loose_marks", "word_length"]
-    held = docs.withColumns({"_words": from_words, "_rest": F.array(between(marks, (0.0, 0.03), -1.0, 0.1), F.when(size < 20, 0).otherwise(between(upper, (0.0, 0.15), -1.0, 0.4)), from_lines)})
-    return held.withColumn("votes", F.concat(F.array(*[F.col(f"_words.{f}") for f in fields]), "_rest")).drop("_words", "_rest")
+MARKS = b"!\"#$%&()*+/:;<=>?@[]^_`{|}~"
+STOPS = b".?!"
+
+
+def between(x: float, good: tuple[float, float], bad_below: float, bad_above: float) -> int:
+    return 1 if good[0] <= x <= good[1] else -1 if x < bad_below or x > bad_above else 0
+
+
+def vote(raw: bytes | None) -> list[int]:
+    """-1, 0 or 1 of each labeller. One that has nothing to go by (too few words or lines)
+    abstains. Sizes are in bytes."""
+    text = raw or b""
+    words = text.split()
+    n, size = len(words), len(text)
+    many = max(1, n)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    short = sum(1 for w in words if len(w) <= 3) / many
+    stops = sum(1 for w in words if w[-1] in STOPS) / many
+    loose = sum(1 for w in words if len(w) == 1 and w in MARKS) / many
+    marks = (size - len(text.translate(None, MARKS))) / max(1, size)
+    upper = (size - len(text.translate(None, UPPER.encode()))) / max(1, size - len(text.translate(None, (UPPER + LOWER).encode())))
+    return [
+        1 if n >= 30 else -1 if n < 5 else 0,
+        0 if n < 10 else between(short, (0.2, 0.7), 0.1, 0.85),
+        0 if n < 20 else between(stops, (0.02, 0.2), 0.005, 0.4),
+        0 if n < 50 or n > 2000 else between(len(set(words)) / many, (0.4, 1.0), 0.25, 2.0),
+        0 if n < 10 else between(loose, (0.0, 0.01), -1.0, 0.08),
+        0 if n < 10 else between(size / many, (3.5, 9.0), 2.5, 12.0),
+        between(marks, (0.0, 0.03), -1.0, 0.1),
+        0 if size < 20 else between(upper, (0.0, 0.15), -1.0, 0.4),
+        0 if len(lines) < 3 else between(len(set(lines)) / len(lines), (0.95, 1.0), 0.7, 2.0),
+    ]
+
+
+def votes(rows: DataFrame) -> DataFrame:
+    """(row, votes) for rows(row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches, ("text",)):
+            yield pa.record_batch([pa.array(part["row"], pa.int64()), pa.array([vote(t) for t in part["text"]], pa.list_(pa.int32()))], ["row", "votes"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, votes array<int>")
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -181,18 +182,18 @@ def scorer(sampled: DataFrame) -> np.ndarray:
             weights = train([rows[i] for i in order], np.array([targets[i] for i in order]))
             yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    found = sampled.mapInArrow(told, "ids array<int>, posterior double").coalesce(1).mapInArrow(fit, "weights binary").collect()
+    found = sampled.mapInArrow(told, "ids array<int>, posterior double").repartition(1).mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, posterior, score, keep) for every row of docs."""
-    voted = store(votes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))).select("row", "votes"), "votes")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    voted = store(votes(keyed), "votes")
     patterns = [(tuple(r.votes), r["count"]) for r in voted.groupBy("votes").count().collect()]
     share, chance = estimate(sorted(patterns))
     told = voted.select("row", posterior(share, chance).alias("posterior"))
     picked = told.distinct().orderBy("row").limit(sample)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     weights = docs.sparkSession.sparkContext.broadcast(scorer(keyed.join(F.broadcast(picked), "row").select("text", "posterior")))  # 2 ** BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
