@@ -14,6 +14,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def folded(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     plain = unicodedata.normalize("NFD", text)
     return "".join(c for c in plain if not unicodedata.combining(c)).lower()
 
