@@ -58,46 +58,52 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """(uid, places): the anchors of rows(uid, text) that other rows have too."""
+    """(uid, anchors): the anchors of rows(uid, text) that other rows have too.
+
+    A row sends each of its anchors once, routed by the anchor. Of an anchor that many rows of a
+    slice have, two rows tell all others that it recurs; the rest are routed apart (their route
+    isn't the anchor), so that an anchor in a third of all rows is no hot key."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, ("text",)):
-            hashes, uids, places = [], [], []
-            for uid, text in zip(part["uid"], part["text"], strict=True):
+            hashes, uids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for uid, text in dict(zip(part["uid"], part["text"], strict=True)).items():
                 words = (text or b"").split()
                 if len(words) >= WINDOW:
                     mixed, at = anchors(words)
-                    at = np.unique(at)
-                    hashes.append(mixed[at])
-                    uids.append(np.full(len(at), uid))
-                    places.append(at.astype(np.int32))
-            if hashes:
-                yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(places))], ["anchor", "uid", "place"])
+                    hashes.append(np.unique(mixed[at]))
+                    uids.append(np.full(len(hashes[-1]), uid))
+            anchor, uid = np.concatenate(hashes), np.concatenate(uids)
+            order = np.argsort(anchor, kind="stable")
+            anchor, uid = anchor[order], uid[order]
+            first = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, bool)
+            rank = np.arange(len(anchor)) - np.maximum.accumulate(np.where(first, np.arange(len(anchor)), 0))
+            apart = (anchor ^ uid.view(np.uint64)) * MIX
+            route = np.where(rank < 2, anchor, apart ^ (apart >> np.uint64(31)))
+            yield pa.record_batch([pa.array(route.view(np.int64)), pa.array(uid), pa.array(anchor.view(np.int64))], ["route", "uid", "anchor"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor. Held back: the run of the last anchor, while it has one uid."""
-        last, several, held = None, False, [np.empty(0, np.int64), np.empty(0, np.int32)]
+        """Rows come sorted by route. Held back: the run of the last route, while it has one uid."""
+        last, several, held = None, False, [np.empty(0, np.int64), np.empty(0, np.int64)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, uid, place = (c.to_numpy() for c in batch.columns)
-            if last is not None and anchor[0] == last and not several:
-                anchor = np.concatenate([np.full(len(held[0]), last), anchor])
-                uid, place = np.concatenate([held[0], uid]), np.concatenate([held[1], place])
-            known = several and anchor[0] == last
-            cuts = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-            low, high = np.minimum.reduceat(uid, cuts), np.maximum.reduceat(uid, cuts)
-            many = low != high
+            route, uid, anchor = (c.to_numpy() for c in batch.columns)
+            if last is not None and route[0] == last and not several:
+                route = np.concatenate([np.full(len(held[0]), last), route])
+                uid, anchor = np.concatenate([held[0], uid]), np.concatenate([held[1], anchor])
+            known = several and route[0] == last
+            cuts = np.concatenate([[0], np.flatnonzero(route[1:] != route[:-1]) + 1])
+            many = np.minimum.reduceat(uid, cuts) != np.maximum.reduceat(uid, cuts)
             many[0] |= known
-            sizes = np.diff([*cuts, len(anchor)])
-            keep = np.repeat(many, sizes)
-            last, several = anchor[-1], bool(many[-1])
-            held = [uid[cuts[-1] :], place[cuts[-1] :]]
-            yield pa.record_batch([pa.array(uid[keep]), pa.array(place[keep])], ["uid", "place"])
+            keep = np.repeat(many, np.diff([*cuts, len(route)])) | (route != anchor)
+            last, several = route[-1], bool(many[-1])
+            held = [uid[cuts[-1] :], anchor[cuts[-1] :]]
+            yield pa.record_batch([pa.array(uid[keep]), pa.array(anchor[keep])], ["uid", "anchor"])
 
-    found = rows.mapInArrow(emit, "anchor long, uid long, place int")
-    kept = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shared, "uid long, place int")
-    return kept.groupBy("uid").agg(F.collect_set("place").alias("places"))
+    found = rows.mapInArrow(emit, "route long, uid long, anchor long")
+    kept = found.repartition("route").sortWithinPartitions("route").mapInArrow(shared, "uid long, anchor long")
+    return kept.groupBy("uid").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -107,12 +113,12 @@ def segments(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, ("text",)):
             out: list[tuple] = []
-            for uid, doc, text, places in zip(part["uid"], part["doc_id"], part["text"], part["places"], strict=True):
+            for uid, doc, text, wanted in zip(part["uid"], part["doc_id"], part["text"], part["anchors"], strict=True):
                 words = text.split()
                 mixed, at = anchors(words)
                 runs = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-                wanted = np.isin(at[runs[:-1]], np.array(places))
-                for s, e in zip(runs[:-1][wanted].tolist(), runs[1:][wanted].tolist(), strict=True):
+                told = np.isin(mixed[at[runs[:-1]]].view(np.int64), np.array(wanted, np.int64))
+                for s, e in zip(runs[:-1][told].tolist(), runs[1:][told].tolist(), strict=True):
                     out.append((uid, doc, int(mixed[at[s]].view(np.int64)), s, e - s, b" ".join(words[s : e - 1 + WINDOW])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             names = ["uid", "doc_id", "anchor", "first", "n", "words"]
