@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import mail
+from ..functions import compose, mail
 from ..functions.normalise import IGNORED
 
 SCHEMA = (
@@ -177,6 +177,57 @@ def eml_tree(spark: SparkSession, path: str, content: bool = False) -> DataFrame
     return told.withColumn("seq", F.xxhash64("path")).orderBy("path")
 
 
+def exported_tree(spark: SparkSession, path: str, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
+    """The messages of a tree that ``export.write_tree`` wrote, with ``label_names``. Files without
+    an id header are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path)
+    ddl = SCHEMA + ", label_names array<string>, path string"
+    kind = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                row = compose.read_back(email.message_from_bytes(raw, policy=policy.compat32), prefix, content)
+                if row is not None:
+                    yield pa.RecordBatch.from_pylist([row | {"seq": 0, "path": p}], schema=kind)
+
+    return files.select("path", "content").mapInArrow(run, ddl).withColumn("seq", F.xxhash64("path"))
+
+
+def label_ids_of(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``label_ids`` for their label names, and the labels that had to be made for it
+    (``import-eml:`` and the name). Labels are few: AQE broadcasts them."""
+    names = rows.select("id", F.posexplode("label_names").alias("pos", "name"))
+    known = labels.groupBy("name").agg(F.min("id").alias("label_id"))
+    told = names.join(known, "name", "left").withColumn("_new", F.col("label_id").isNull()).withColumn("label_id", F.coalesce("label_id", F.concat(F.lit("import-eml:"), "name")))
+    ids = told.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label_id"))), lambda x: x["label_id"]), ",").alias("label_ids"))
+    made = told.filter("_new").select(F.col("label_id").alias("id"), "name").distinct()
+    return rows.drop("label_ids").join(ids, "id", "left").withColumn("label_ids", F.coalesce("label_ids", F.lit(""))), made
+
+
+def detect(uri: str) -> str:
+    """What a path holds: pst, thunderbird_pcv, thunderbird_profile, eml, msg, mbox or unknown; by
+    its suffix, its first bytes, then the names inside."""
+    store, root = fs.FileSystem.from_uri(uri)
+    info = store.get_file_info(root)
+    marks = ("Mail", "ImapMail", "prefs.js")
+    if info.type == fs.FileType.Directory:
+        names = [f.base_name for f in store.get_file_info(fs.FileSelector(root))]
+        return "thunderbird_profile" if any(n in marks or n.endswith(".sbd") for n in names) else "unknown"
+    if info.type != fs.FileType.File:
+        return "unknown"
+    suffix = PurePosixPath(root).suffix.lower()
+    with store.open_input_file(root) as file:
+        magic = file.read(4)
+        if suffix == ".pst" or magic == b"!BDN":
+            return "pst"
+        if magic == b"PK\x03\x04":
+            file.seek(0)
+            if any(n.startswith(("Mail/", "ImapMail/")) or n.endswith(".sbd") or n == "prefs.js" for n in zipfile.ZipFile(file).namelist()):
+                return "thunderbird_pcv"
+    return suffix[1:] if suffix in (".eml", ".msg", ".mbox") else "unknown"
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
