@@ -1,13 +1,16 @@
-"""Full-text search: postings, boolean matching by joins, BM25 ranking."""
+"""Full-text search: postings, boolean matching by joins, BM25 ranking, snippets of the hits."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import Both, Near, Phrase, understood
+from ..functions.snippet import snippet
 from ..functions.terms import postings
 
 K1, B = 1.2, 0.75
@@ -75,3 +78,31 @@ def search(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | None
     """The best rows for a query, ties by id. 0 means the default limit, a negative one none."""
     found = ranked(index if index is not None else postings(rows), rows, text)
     return found if limit < 0 else found.orderBy("rank", "id").limit(limit or 20)
+
+
+#: Tokens shown of each column.
+SHOWN = {"subject": 15, "body_text": 25}
+
+
+def results(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """The best rows with what a reader sees: (id, rank, shown_date, shown_subject, subject_snippet,
+    body_text_snippet). Only hits are cut into snippets."""
+    node = understood(text)
+    found = search(rows, text, limit, index)
+    held = [c for c in SHOWN if c in rows.columns]
+    dates = [c for c in ("internal_date_ms", "date") if c in rows.columns]
+    hits = rows.select("id", *held, *dates).join(found, "id")
+    told = [f"{c}_snippet" for c in held]
+    kind = pa.schema([("id", pa.string()), *[(t, pa.string()) for t in told]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [[snippet(t, node, c, SHOWN[c]) for t in batch.column(c).to_pylist()] for c in held]
+            yield pa.record_batch([batch.column("id").cast(pa.string()), *[pa.array(c, pa.string()) for c in cut]], schema=kind)
+
+    cut = hits.select("id", *held).mapInArrow(run, ", ".join(f"{f.name} string" for f in kind))
+    when = [F.when(F.coalesce("internal_date_ms", F.lit(0)) != 0, F.date_format(F.timestamp_millis("internal_date_ms"), "yyyy-MM-dd HH:mm:ss 'UTC'"))] if "internal_date_ms" in dates else []
+    when += [F.col("date")] if "date" in dates else []
+    titles = [F.nullif(F.col(c), F.lit("")) for c in ("subject_snippet", "subject") if c in held or c in told]
+    out = hits.join(cut, "id").select("id", "rank", F.coalesce(*when, F.lit("Unknown date")).alias("shown_date"), F.coalesce(*titles, F.lit("(No Subject)")).alias("shown_subject"), *told)
+    return out.orderBy("rank", "id") if limit >= 0 else out
