@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
+from email import message_from_bytes
 from email.header import decode_header
 from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
@@ -139,6 +141,21 @@ def message_id(message: Message, from_line: str, prefix: str) -> str:
     return f"{prefix}sha1:{hashlib.sha1(told.encode('utf-8', 'replace')).hexdigest()}"
 
 
+def with_inner(message: Message) -> Iterator[Message]:
+    """A message and, after it, those attached to it at any depth, as messages or as EML files."""
+    yield message
+    todo = list(message.get_payload()) if message.is_multipart() else []
+    while todo:
+        part = todo.pop(0)
+        if part.get_content_type() == "message/rfc822":
+            for inner in part.get_payload() if part.is_multipart() else ():
+                yield from with_inner(inner)
+        elif decoded(part.get_filename()).lower().endswith(".eml"):
+            yield from with_inner(message_from_bytes(part.get_payload(decode=True) or b""))
+        elif part.is_multipart():
+            todo = list(part.get_payload()) + todo
+
+
 def row(message: Message, label_ids: str, seq: int, prefix: str = "thunderbird:", from_line: str = "", content: bool = False) -> dict:
     """The nested row of a message: its fields, addresses and attachments."""
     body, kind, html = bodies(message)

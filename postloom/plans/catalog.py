@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise
 from ..functions.terms import postings
-from ..operators import export, filters, search, stats, tables
+from ..operators import export, filters, search, stats, tables, verify
 from ..operators.filters import Mail
+from ..sources import mail as sources
 from .views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,3 +273,22 @@ for _name, (_text, _hits, _on) in SEARCHES.items():
 def fts_postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = postings(view(spark, sf_dir, "m_docs"))
     return rows.groupBy("term").agg(F.count_distinct("id").alias("df"), F.count(F.lit(1)).alias("n"))
+
+
+@query("snippet_topk")
+def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.results(view(spark, sf_dir, "m_docs"), "license OR apache", 20).drop("rank")
+
+
+# Files -----------------------------------------------------------------------------------------
+
+@query("parse_addresses", f"{duck('m_addresses')} SELECT message_id, role, address, name FROM m_addresses WHERE role = 'from'")
+def parse_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.address_rows(view(spark, sf_dir, "m_messages").select("id", "sender"))
+
+
+@query("parse_eml_roundtrip", f"{duck('m_messages', 'm_labels', 'm_attachments')}, e AS (SELECT id, unnest(string_split(label_ids, ',')) AS l, generate_subscripts(string_split(label_ids, ','), 1) AS p FROM m_messages WHERE label_ids <> ''), n AS (SELECT e.id, string_agg(coalesce(n.name, e.l), ',' ORDER BY p) AS labels FROM e LEFT JOIN m_labels n ON n.id = e.l GROUP BY 1), a AS (SELECT message_id, count(*) AS files, sum(size)::BIGINT AS bytes FROM m_attachments GROUP BY 1) SELECT m.id, m.thread_id, m.sender, m.subject, coalesce(internal_date_ms, 0) AS internal_date_ms, coalesce(labels, '') AS labels, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, sha256(body_text) AS body FROM m_messages m LEFT JOIN n ON n.id = m.id LEFT JOIN a ON a.message_id = m.id")
+def parse_eml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = sources.rows_back(export.as_eml(export.candidates(mail(spark, sf_dir))))
+    size = F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["size"])
+    return back.select("id", "thread_id", "sender", "subject", "internal_date_ms", F.array_join("label_names", ",").alias("labels"), F.size("attachments").cast("long").alias("files"), size.alias("bytes"), F.sha2(normalise.body(F.col("body_text")), 256).alias("body"))

@@ -47,6 +47,15 @@ def folder_of(path: str) -> str:
     return "/".join([p[:-4] if p.lower().endswith(".sbd") and i < len(parts) - 1 else p for i, p in enumerate(parts)])
 
 
+def label_of(folder: str) -> str:
+    return "thunderbird_folder:" + hashlib.sha1(folder.encode()).hexdigest()[:16]
+
+
+def folder_labels(uri: str) -> list[tuple[str, str]]:
+    """(id, name) of the labels that an archive's folders stand for."""
+    return sorted({(label_of(s[2]), s[2]) for s in MboxReader({"path": uri}).stores()})
+
+
 def is_store(path: str) -> bool:
     name = PurePosixPath(path).name
     return bool(name) and not name.startswith(".") and PurePosixPath(name).suffix.lower().lstrip(".") not in IGNORED
@@ -95,9 +104,11 @@ class MboxReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.uri = options["path"]
         self.content = options.get("withattachments", "false").lower() == "true"
+        self.recursive = options.get("recursive", "false").lower() == "true"
         self.chunk = int(options.get("chunk", CHUNK))
 
-    def partitions(self) -> list[Store]:
+    def stores(self) -> list[tuple[str, str, str, int]]:
+        """(path, member of a ZIP, folder, size) of each store, in the order of their folders."""
         store, root = fs.FileSystem.from_uri(self.uri)
         info = store.get_file_info(root)
         found: list[tuple[str, str, str, int]] = []
@@ -115,8 +126,11 @@ class MboxReader(DataSourceReader):
                             found.append((root, z.filename, folder_of(z.filename), z.file_size))
                 else:
                     found.append((root, "", PurePosixPath(root).name, info.size))
+        return sorted(found, key=lambda x: (x[2], x[0]))
+
+    def partitions(self) -> list[Store]:
         out = []
-        for number, (path, member, folder, size) in enumerate(sorted(found, key=lambda x: (x[2], x[0]))):
+        for number, (path, member, folder, size) in enumerate(self.stores()):
             step = max(1, size) if member else self.chunk
             out += [Store(number, path, member, folder, at, min(size, at + step)) for at in range(0, size, step)]
         return out
@@ -133,10 +147,12 @@ class MboxReader(DataSourceReader):
                 raw = io.BufferedReader(file, 1 << 20)
                 if at:
                     at += len(raw.readline())
-            label = "thunderbird_folder:" + hashlib.sha1(part.folder.encode()).hexdigest()[:16]
+            label = label_of(part.folder)
             for place, head, text in split_messages(raw, at, part.start, part.end):
-                found = mail.row(email.message_from_bytes(text, policy=policy.compat32), label, part.number << STORE_BITS | place, from_line=head, content=self.content)
-                yield tuple(as_structs(found).values())
+                message = email.message_from_bytes(text, policy=policy.compat32)
+                for one in mail.with_inner(message) if self.recursive else (message,):
+                    found = mail.row(one, label, part.number << STORE_BITS | place, from_line=head if one is message else "", content=self.content)
+                    yield tuple(as_structs(found).values())
 
 
 def as_structs(row: dict) -> dict:
@@ -144,7 +160,8 @@ def as_structs(row: dict) -> dict:
 
 
 class MboxSource(DataSource):
-    """``spark.read.format("mbox").load("file:///mail/profile")``; options withAttachments, chunk."""
+    """``spark.read.format("mbox").load("file:///mail/profile")``; options withAttachments,
+    recursive, chunk."""
 
     @classmethod
     def name(cls) -> str:
@@ -177,21 +194,27 @@ def eml_tree(spark: SparkSession, path: str, content: bool = False) -> DataFrame
     return told.withColumn("seq", F.xxhash64("path")).orderBy("path")
 
 
-def exported_tree(spark: SparkSession, path: str, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
-    """The messages of a tree that ``export.write_tree`` wrote, with ``label_names``. Files without
-    an id header are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path)
+def rows_back(files: DataFrame, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
+    """The rows, with ``label_names``, of EML bytes ``raw`` that ``export`` made. Files without an
+    id header are left out."""
     ddl = SCHEMA + ", label_names array<string>, path string"
     kind = arrow_schema(ddl)
+    files = files.select("raw", F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                row = compose.read_back(email.message_from_bytes(raw, policy=policy.compat32), prefix, content)
-                if row is not None:
-                    yield pa.RecordBatch.from_pylist([row | {"seq": 0, "path": p}], schema=kind)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pylist()
+                rows = [(compose.read_back(email.message_from_bytes(f["raw"], policy=policy.compat32), prefix, content), f["path"]) for f in part]
+                yield pa.RecordBatch.from_pylist([row | {"seq": 0, "path": p} for row, p in rows if row is not None], schema=kind)
+
+    return files.mapInArrow(run, ddl)
 
-    return files.select("path", "content").mapInArrow(run, ddl).withColumn("seq", F.xxhash64("path"))
+
+def exported_tree(spark: SparkSession, path: str, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
+    """The messages of a tree that ``export.write_tree`` wrote."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path)
+    return rows_back(files.select("path", F.col("content").alias("raw")), prefix, content).withColumn("seq", F.xxhash64("path"))
 
 
 def label_ids_of(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
