@@ -45,14 +45,14 @@ class Encoder:
     ``spaced``: whether a piece keeps the space or line end before it.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, kept: int = KEPT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.spaced = spaced
+        self.spaced, self.kept = spaced, kept
         self.known: dict[str, bytes] = {}
         self.line_end = self.encoded(["\n"])[0]
         self.marks = dict(zip(MARKS, self.encoded(list(MARKS)), strict=True))
@@ -111,7 +111,7 @@ class Encoder:
         if len(new) < len(missing):
             odd = [p for p in missing if p not in new]
             new.update(zip(odd, self.encoded([p if p[:1] == "\n" else " " + p for p in odd] if self.spaced else odd), strict=True))
-        if len(known) < KEPT:
+        if len(known) < self.kept:
             known.update(new if max(map(len, new), default=0) <= LONGEST else {p: x for p, x in new.items() if len(p) <= LONGEST})
         for p in closed:
             core = p[:-1]
@@ -141,6 +141,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, kept: int = KEPT) -> Encoder:
     """One for each worker process and file."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, kept)

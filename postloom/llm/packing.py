@@ -36,6 +36,8 @@ CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CELL_ROWS = 50_000
+#: Pieces whose ids a worker keeps between batches; workers outlive their stage, and later ones need the memory.
+KEPT = 300_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: One of these for each length: the pieces numbered from ``first`` go to the sequences from
 #: ``sequence``, ``times`` in each, from ``offset``.
@@ -94,7 +96,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
     """The pieces of every document, without their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, False)
+        enc = encoder(path, False, KEPT)
         end = np.array([end_id], enc.dtype).tobytes()
         for rows in rows_of(batches):
             out: list[tuple] = []
