@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, documents, rows_of, store
+from .resemblance import similar_rows
 
 SEED = 42
 FAN = 16
@@ -233,10 +234,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each near-duplicate group: the row with the smallest
-    doc_id stays (of rows that share it, the one with the smallest text)."""
-    found = near_duplicates(docs)
-    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """docs without all but one row of each group of similar texts (see ``resemblance``: 0.8 of
+    their 5-word shingles): the row with the smallest doc_id stays (of rows that share it, the
+    one with the smallest text)."""
+    found = similar_rows(docs)
+    firsts = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi")
     repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = kept.join(repeated, "doc_id", "left_anti")

@@ -115,6 +115,41 @@ def test_more_blocks_for_more_fingerprints():
             assert any(x & mask == 0 for mask in masks)
 
 
+def shingle_sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = [x.lower() for x in words(t)]
+        out.append({b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+def test_one_stays_of_planted_copies(spark):
+    rng = np.random.default_rng(5)
+    texts, likes = [], []
+    for edits in (1, 2, 4, 7, 9) * 12:  # of 400 words, up to 5 shingles each
+        base = [f"v{x}" for x in rng.integers(0, 5000, 400)]
+        copy = list(base)
+        for at in rng.choice(400, edits, replace=False):
+            copy[at] = "edited"
+        texts += [" ".join(base), " ".join(copy)]
+        a, b = shingle_sets(texts[-2:])
+        likes.append(len(a & b) / len(a | b))
+    assert sum(0.8 <= x < 0.85 for x in likes) > 5 and sum(0.9 < x <= 0.95 for x in likes) > 5
+    far = " ".join(texts[0].split()[:300] + [f"n{i}" for i in range(100)])
+    rows = [(i, t) for i, t in enumerate([*texts, far])]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, len(texts)} | {2 * i for i in range(len(likes))} | {2 * i + 1 for i, x in enumerate(likes) if x < 0.8}
+
+
+def test_similar_groups_equal_all_pairs(spark):
+    held = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    docs = sorted((r.doc_id, r.text or "") for r in held.collect())
+    sets = shingle_sets([t for _, t in docs])
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b) - 1e-9]
+    root = components(len(docs), pairs)
+    assert sorted(r.doc_id for r in simhash.one_of_each(held).collect()) == [i for k, (i, _) in enumerate(docs) if root[k] == k]
+
+
 # Sharding ---------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_groups_together(spark):
