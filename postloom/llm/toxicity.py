@@ -133,11 +133,12 @@ def evidence(text: list[bytes], ordinary: zstandard.ZstdCompressor, toxic: zstan
     return 1.0, math.log1p(max(0, *saved, 0)), math.log1p(total), total / len(saved)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, worth: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """``worth``: how much each row counts."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(x.T @ (x * (worth * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (worth * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -148,23 +149,28 @@ def fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def fitted(rows: list[tuple[int, str, int]]) -> Model:
+def fitted(rows: list[tuple[int, str, int]], stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     """From labelled rows (doc_id, text, toxic). Two thirds make the dictionaries that calibrate on
-    the rest; the dictionaries of the model are then made from all rows."""
+    the rest; the dictionaries of the model are then made from all rows. ``stands``: how many
+    labelled rows a row of each class stands for, so that scores mean the same however the sample
+    was bounded."""
     told = [(fold(i) // 4 % 3, words_of(t[:LEARNED]), y) for i, t, y in sorted(rows)]
-    base = sum(y for _, _, y in told) / max(1, len(told))
+    total = sum(stands[y] for _, _, y in told)
+    base = sum(stands[y] for _, _, y in told if y) / max(1, total)
     if not 0 < base < 1:
         return Model(b"", b"", (base,))
     halves = dictionaries([(w, y) for f, w, y in told if f])
     pair = compressors(*halves)
     held = [(evidence(w, *pair), y) for f, w, y in told if not f]
     x, y = np.array([e for e, _ in held]), np.array([v for _, v in held], float)
-    weights = logistic(x, y) if 0 < y.mean() < 1 else np.array([math.log(base / (1 - base)), 0.0, 0.0, 0.0])
+    worth = np.array([stands[v] for _, v in held]) * len(told) / total
+    weights = logistic(x, y, worth) if 0 < y.mean() < 1 else np.array([math.log(base / (1 - base)), 0.0, 0.0, 0.0])
     return Model(*dictionaries([(w, y) for _, w, y in told]), tuple(weights.tolist()))
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> list[tuple[int, str, int]]:
-    """The bounded sample: rows of both classes in proportion until a bound is met."""
+def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[list[tuple[int, str, int]], tuple[float, float]]:
+    """The bounded sample, rows of both classes in proportion until a bound is met, and how many
+    labelled rows a row of each class stands for."""
     rows = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     if not learn:
         rows = rows.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2")
@@ -172,11 +178,12 @@ def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> list[tuple[int, s
     share = min(1.0, TOXIC / max(1, count.get(1, 0)), ORDINARY * 4 / max(1, count.get(0, 0)))
     want = {1: math.ceil(count.get(1, 0) * share), 0: min(ORDINARY, math.ceil(count.get(0, 0) * share))}
     picked = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in want.items() if n]
+    stands = tuple(count.get(y, 0) / want[y] if want[y] else 1.0 for y in (0, 1))
     if not picked:
-        return []
+        return [], stands
     taken = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
     got = docs.select("doc_id", F.substring("text", 1, LEARNED).alias("text")).join(F.broadcast(taken), "doc_id")  # at most TOXIC + ORDINARY rows
-    return [(r.doc_id, r.text or "", r.toxic) for r in got.collect()]
+    return [(r.doc_id, r.text or "", r.toxic) for r in got.collect()], stands
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,7 +208,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, learn: bool = False) -> DataFrame:
     """Scores docs with a model fitted to rows of ``labelled`` that ``labels(doc_id, toxic)`` mark.
     ``learn``: whether rows of the held-out fold may be learned from too."""
-    return scored(docs, fitted(sample(labelled, labels, learn)))
+    return scored(docs, fitted(*sample(labelled, labels, learn)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,6 +391,28 @@ def test_quality_and_toxicity_on_labels(spark):
     assert sum(good) > 0.93 * len(good) and sum(poor) < 0.5 * len(poor)
 
 
+def test_scores_mean_the_same_beyond_the_bound(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = [f"plain{i}" for i in range(300)]
+    texts, marks = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        words = rng.choice(pool, 40).tolist()
+        if rng.random() < (0.6 if toxic else 0.15):  # telling, not certain
+            words[5] = "vilestword"
+        texts.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+
+    def mean_score():
+        return toxicity.toxicity(docs, docs, labels, learn=True).agg({"score": "avg"}).first()[0]
+
+    whole = mean_score()
+    monkeypatch.setattr(toxicity, "ORDINARY", 400)
+    assert abs(whole - 0.1) < 0.03 and abs(mean_score() - whole) < 0.05
+
+
 def test_estimate_finds_the_labellers():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8
