@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, documents, rows_of, store
-from .resemblance import similar_rows
+from .resemblance import mark, similar_rows
 
 SEED = 42
 FAN = 16
@@ -236,13 +236,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of similar texts (see ``resemblance``: 0.8 of
     their 5-word shingles): the row with the smallest doc_id stays (of rows that share it, the
-    one with the smallest text)."""
+    one with the smallest text). A row is told by doc_id and text, so texts that clash in doc_id
+    are each judged in their own group."""
     found = similar_rows(docs)
-    firsts = found.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = kept.join(repeated, "doc_id", "left_anti")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    firsts = store(found.join(least, ["root", "doc_id"]).groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("mark").alias("marks")), "firsts")
     names = docs.columns
-    picked = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row"))
+    told = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark(), F.coalesce("text", F.lit("")).alias("by"))
+    keys = firsts.select("root", "doc_id", "n", F.explode("marks").alias("mark"))
+    single = told.join(keys.filter("n = 1").select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select("row.*")
+    several = told.join(keys.filter("n > 1").select("root", "doc_id", "mark"), ["doc_id", "mark"])
+    picked = several.groupBy("root").agg(F.min_by("row", "by").alias("row")).select("row.*")
     nameless = docs.filter("doc_id is null")
-    return single.select(*names).unionByName(picked.select("row.*").select(*names)).unionByName(nameless.select(*names))
+    return single.unionByName(picked).unionByName(nameless.select(*names))

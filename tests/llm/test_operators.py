@@ -150,6 +150,18 @@ def test_similar_groups_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(held).collect()) == [i for k, (i, _) in enumerate(docs) if root[k] == k]
 
 
+def test_clashing_ids_lose_no_group(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (1, b), (2, c), (5, c + " z"), (5, c + " y"), (5, b), (7, a), (7, a)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (1, b), (2, c)]
+    led = [(1, a), (4, a), (4, b), (9, b)]  # (4, a) has the smaller text and is led by 1
+    kept = simhash.one_of_each(spark.createDataFrame(led, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (4, b)]
+    tied = [(3, c + " z"), (3, c + " y"), (3, c + " y"), (4, c)]
+    assert [r.text for r in simhash.one_of_each(spark.createDataFrame(tied, "doc_id long, text string")).collect()] == [c + " y"]
+
+
 # Sharding ---------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_groups_together(spark):
