@@ -11,7 +11,8 @@ whole. The largest saving of a window, their sum and their sum for each window a
 probability by a logistic fit on labelled rows that no dictionary has seen; ``CUT`` is the threshold.
 
 The sample of labelled rows is bounded: at most ``TOXIC`` and ``ORDINARY`` rows, the least by hash
-of doc_id. Windows, thresholds and scores cover all rows and whole texts.
+of doc_id. Dictionaries and calibration read the whole texts of these and all their windows, as
+scores read the whole texts of all rows.
 
 Nulls, empty texts: an empty text is one empty window and gets a score. Null doc_ids and repeated
 rows keep their rows. An empty table gives an empty result; without labels of both classes every
@@ -38,8 +39,6 @@ from pyspark.sql import functions as F
 from .common import documents, rows_of
 
 TOXIC, ORDINARY = 1500, 4000
-#: Bytes of a sampled row that are learned from. Scores read whole texts.
-LEARNED = 20_000
 WINDOW = 16
 CUT = 0.3
 CONTENT = 65_536
@@ -108,7 +107,7 @@ def dictionaries(rows: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
     plain = [w for found, label in rows if not label for w in windows(found)]
     random.Random(5).shuffle(plain)
     try:
-        shared = zstandard.train_dictionary(CONTENT, plain[:20_000]).as_bytes()
+        shared = zstandard.train_dictionary(CONTENT, plain).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself is the dictionary
         shared = b"".join(plain)[-CONTENT:].rjust(8)
     # Every third position of a dictionary is indexed: sequences start on one, and the shared part stays in step.
@@ -154,7 +153,8 @@ def fitted(rows: list[tuple[int, str, int]], stands: tuple[float, float] = (1.0,
     the rest; the dictionaries of the model are then made from all rows. ``stands``: how many
     labelled rows a row of each class stands for, so that scores mean the same however the sample
     was bounded."""
-    told = [(fold(i) // 4 % 3, words_of(t[:LEARNED]), y) for i, t, y in sorted(rows)]
+    known: dict[bytes, bytes] = {}  # equal words are held once
+    told = [(fold(i) // 4 % 3, [known.setdefault(w, w) for w in words_of(t)], y) for i, t, y in sorted(rows)]
     total = sum(stands[y] for _, _, y in told)
     base = sum(stands[y] for _, _, y in told if y) / max(1, total)
     if not 0 < base < 1:
@@ -182,7 +182,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[list[tuple[
     if not picked:
         return [], stands
     taken = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
-    got = docs.select("doc_id", F.substring("text", 1, LEARNED).alias("text")).join(F.broadcast(taken), "doc_id")  # at most TOXIC + ORDINARY rows
+    got = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most TOXIC + ORDINARY rows
     return [(r.doc_id, r.text or "", r.toxic) for r in got.collect()], stands
 
 

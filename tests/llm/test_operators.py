@@ -425,6 +425,18 @@ def test_scores_mean_the_same_beyond_the_bound(spark, monkeypatch):
     assert abs(whole - 0.1) < 0.03 and abs(mean_score() - whole) < 0.05
 
 
+def test_toxic_text_is_learned_wherever_it_is():
+    rng = np.random.default_rng(9)
+    pool = [f"plain{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        text = " ".join(rng.choice(pool, 3000))
+        rows.append((i, text + " vilestword" * (i % 3 == 0), int(i % 3 == 0)))
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    model = toxicity.fitted(rows)
+    assert b"vilestwor" in model.toxic and model.weights[1] > 0.5
+
+
 def test_estimate_finds_the_labellers():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8
