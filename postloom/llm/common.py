@@ -1,16 +1,15 @@
 """Helpers that the training-data operators share.
 
 ``shared_dir`` and ``store`` cut lineage in the folder that the cluster shares, ``number_rows``
-gives gapless numbers inside groups of any size, ``connected`` finds connected components with
-joins only, and ``rows_of`` walks Arrow batches in small slices so that a batch of very long
-texts doesn't need several copies of itself in a Python worker.
+gives gapless numbers inside groups of any size, ``spread_join`` brings one row for each key to any
+number of rows, ``connected`` finds connected components with joins only, and ``rows_of`` walks
+Arrow batches in small slices so that a batch of very long texts doesn't need several copies of
+itself in a Python worker.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,15 +19,23 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker holds as Python objects at once.
 SLICE = 256
+#: Tasks over which the rows of one key are dealt.
+SALTS = 32
+#: Spark deletes an execution's shuffle files when it ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and all runs on one machine (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     held = jsc.getCheckpointDir()
     if held.isDefined():
         return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="postloom-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them see")
+        named = "file://" + tempfile.mkdtemp(prefix="postloom-")
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
 
@@ -42,17 +49,27 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def store(df: DataFrame, kind: str = "table", release: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost
-    executor costs a re-read instead of a recomputation. ``release``: also waits until the shuffle
-    files of the step are given back, which Spark does once nothing on the driver refers to them."""
-    path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    for _ in range(2 * release):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, kind: str = "table") -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there, a lost executor
+    costs a re-read instead of a recomputation, and the shuffle files of the step are deleted."""
+    spark = df.sparkSession
+    path = new_folder(spark, kind)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,26 +115,41 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str, bu
     return joined.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_rank", "_cell", "_before", "_at")
 
 
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows joined with ``one``, which has at most a row for each key. A key may have any share of
+    the rows: they are dealt over SALTS tasks by ``by``, and its one row goes to those of them that
+    have some."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    told = dealt.select(*keys, "_salt").distinct().join(one, keys)
+    return dealt.join(told, [*keys, "_salt"]).drop("_salt")
+
+
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node.
 
     Large-star and small-star passes in turn. Each pass is one minimum per node (combined before
-    the shuffle) and one equi-join, so a hub's neighbours are never gathered anywhere; a hub's
-    rows in the join are split by AQE. Links stay on the executors; the driver sees two sums.
+    the shuffle) and one equi-join over salted nodes, so a hub's neighbours are never gathered
+    anywhere. Links stay on the executors; the driver sees two sums.
     """
     def tidy(df: DataFrame) -> DataFrame:
         return df.filter("a != b").distinct()
 
+    def least(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links with their salt, and for each (a, salt) of them the least b of a."""
+        dealt = df.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        cells = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+        found = cells.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+        return dealt, found
+
     def large(df: DataFrame) -> DataFrame:
-        both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return tidy(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        dealt, found = least(df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        told = found.select("a", F.least("m", "a").alias("m"), F.explode("salts").alias("salt"))
+        return tidy(dealt.join(told, ["a", "salt"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
     def small(df: DataFrame) -> DataFrame:
-        down = df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return tidy(moved.unionByName(least.select("a", F.col("m").alias("b"))))
+        dealt, found = least(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        moved = dealt.join(found.select("a", "m", F.explode("salts").alias("salt")), ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return tidy(moved.unionByName(found.select("a", F.col("m").alias("b"))))
 
     def seen(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -128,8 +160,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = seen(now)
         if mark == was or not mark[0]:
             break
-        was = mark
+        was, before = mark, now
         now = store(small(large(now)), "links")
+        drop(before)
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
