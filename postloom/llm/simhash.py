@@ -15,7 +15,8 @@ task only a spanning forest leaves, never all pairs of a dense group.
 
 Nulls, empty texts: no words, fingerprint zero, linked like any other. A null doc_id keeps its
 row; it never becomes a component_id unless its whole component has none. Repeated rows and ids
-each keep a row. An empty table gives an empty result. Other columns are left aside.
+each keep a row. A text of any length is one fingerprint of its whole; a worker holds its words.
+An empty table gives an empty result. Other columns are left aside.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, documents, rows_of, store
-from .resemblance import mark, similar_rows
+from .resemblance import similar_rows
 
 SEED = 42
 FAN = 16
@@ -235,17 +236,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of similar texts (see ``resemblance``: 0.8 of
-    their 5-word shingles): the row with the smallest doc_id stays (of rows that share it, the
-    one with the smallest text). A row is told by doc_id and text, so texts that clash in doc_id
-    are each judged in their own group."""
-    found = similar_rows(docs)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    firsts = store(found.join(least, ["root", "doc_id"]).groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("mark").alias("marks")), "firsts")
-    names = docs.columns
-    told = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mark(), F.coalesce("text", F.lit("")).alias("by"))
-    keys = firsts.select("root", "doc_id", "n", F.explode("marks").alias("mark"))
-    single = told.join(keys.filter("n = 1").select("doc_id", "mark"), ["doc_id", "mark"], "left_semi").select("row.*")
-    several = told.join(keys.filter("n > 1").select("root", "doc_id", "mark"), ["doc_id", "mark"])
-    picked = several.groupBy("root").agg(F.min_by("row", "by").alias("row")).select("row.*")
-    nameless = docs.filter("doc_id is null")
-    return single.unionByName(picked).unionByName(nameless.select(*names))
+    their 5-word shingles): of each group the row with the smallest doc_id stays (null after all
+    others; of rows that share it, the one with the smallest text). Rows are told apart by a number
+    of their own, so rows whose doc_ids clash are each judged in their own group."""
+    held = store(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    texts = held.select("uid", F.col("row")["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col("row")["text"], F.lit("")).alias("text"))
+    found = store(similar_rows(texts), "groups")
+    by_id = found.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"))
+    first = by_id.groupBy("root").agg(F.min_by(F.struct("doc_id", "n", "uid"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f")).select("root", "f.*")
+    first = store(first, "firsts")
+    # A group whose smallest doc_id several rows have: their texts decide.
+    tied = first.filter("n > 1").select(F.col("root").alias("r"), F.col("doc_id").alias("d"))
+    among = found.join(tied, (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("root", "uid")
+    won = texts.select("uid", "text").join(among, "uid").groupBy("root").agg(F.min_by("uid", F.struct("text", "uid")).alias("uid"))
+    stay = first.filter("n = 1").select("uid").unionByName(won.select("uid"))
+    return held.join(stay, "uid", "left_semi").select("row.*")
