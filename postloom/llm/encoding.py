@@ -8,9 +8,11 @@ whole text, and a piece that was met before needn't be encoded again:
 - word_bpe: at spaces and line ends, which the tokenizer drops; ASCII text is put in lower case
   first, as the tokenizer does.
 - both: between a letter and one closing mark at a piece's end, which are of different classes for
-  either pre-tokenizer.
+  either pre-tokenizer. Only letters of the Latin blocks count, without the one whose lower case
+  ends with a mark of its own.
 
-Tests compare with whole-text encoding.
+A text that may hold an added token (``<|``) is encoded whole, since such a token may stand
+anywhere, and so may its id. Tests compare with whole-text encoding.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ import numpy as np
 #: Pieces whose ids a worker keeps, and the longest piece kept: some 250 MB at most.
 KEPT, LONGEST = 1_200_000, 48
 MARKS = ".,;:!?"
+#: After these a closing mark is a token of its own in either vocabulary.
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha() and len(c.lower()) == 1)
+ADDED = "<|"
 #: White space beside a space or line end (in Python's sense, which is the wider one).
 UNEVEN = re.compile(r"[ \n](?=\s)|(?<=\s)[ \n]")
 EVEN = re.compile(r"(?<=\S) (?=\S)")
@@ -50,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not all(ADDED in t for t in added):
+            raise ValueError(f"added tokens without {ADDED}: {added}")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.spaced, self.kept = spaced, kept
         self.known: dict[str, bytes] = {}
@@ -93,7 +100,7 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         known, marks = self.known, self.marks
-        closed = [p for p in missing if p[-1:] in marks and p[-2:-1].isalpha()]
+        closed = [p for p in missing if p[-1:] in marks and p[-2:-1] in LETTERS]
         if closed:
             missing = missing.difference(closed).union({c for p in closed if (c := p[:-1]) not in known})
         new: dict[str, bytes] = {}
@@ -123,7 +130,7 @@ class Encoder:
         ends = [0]
         whole = {}
         for i, t in enumerate(texts):
-            if self.spaced and t and t[0].isspace():
+            if t and (ADDED in t or self.spaced and t[0].isspace()):
                 whole[i], t = t, ""
             every += self.pieces(t or "")
             ends.append(len(every))
