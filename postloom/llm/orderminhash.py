@@ -7,13 +7,15 @@ which tells reordered text from equal text and follows the edit distance; the li
 fingerprints is the share of equal entries.
 
 The query also fingerprints each text with its last third replaced by the beginning of the next
-document in descending doc_id order. Rows are dealt by doc_id ranges and sorted inside; the last
-row of a range finds its successor in a copy of the next range's first row, so no window over all
-rows is needed, and rows stream through with one document held.
+document in descending doc_id order. Rows are dealt by ranges of (doc_id, hash of the text, row) and
+stream through sorted with one document held, so a doc_id may have any number of rows. The first
+and the last document of each range are kept besides; a second, small step compares the last of
+each range with the first of the next that has rows (after the last: the first).
 
 Nulls: a null text is an empty one; a null doc_id comes last. Empty texts have the fingerprint of
 no k-mers and are like each other. A text shorter than K is one k-mer. Rows with equal doc_ids
-follow each other by text. One row is its own successor; an empty table gives an empty result.
+follow each other by the hash of their texts. A text of any length is read whole; its worker holds
+some numbers for each of its code points. One row is its own successor; an empty table gives an empty result.
 Other columns are left aside.
 """
 
@@ -24,16 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of
-from .tokenfiles import range_of, split_points
+from .common import documents, rows_of, store
+from .tokenfiles import in_ranges
 
 K = 6
 PICKED = 2
 SKETCHES = 32
-RANGE_ROWS = 4096
 PRIME = np.uint64(0x100000001B3)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,47 +96,59 @@ def edited(text: str, after: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def compared(doc_id: int | None, text: str, own: np.ndarray, after: str, its: np.ndarray) -> tuple:
+    """A row of the result for a text and the next document's, with their signatures."""
+    changed = edited(text, after)
+    other = own if changed == text else signature(changed)
+    return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, its)
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, its edited text and the next document's, compared."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = split_points(rows.select("doc_id"), "doc_id", range_rows)
-    part = (F.lit(len(bounds)) - range_of(F.col("doc_id"), bounds)).cast("int")
-    placed = rows.withColumn("part", part)
-    # A few numbers for each range: its first id, and the range that comes before it (the last before the first).
-    met = [(r.part, r.first_id, r.n, r.nulls) for r in placed.groupBy("part").agg(F.max("doc_id").alias("first_id"), F.count("doc_id").alias("n"), F.sum(F.col("doc_id").isNull().cast("int")).alias("nulls")).collect()]
-    met.sort()
-    if not met:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    before = [(met[i - 1][0], met[i][1]) for i in range(len(met))]
-    known = F.create_map(*[F.lit(x) for to, first in before if first is not None for x in (first, to)]) if any(f is not None for _, f in before) else None
-    heads = rows.withColumn("part", F.try_element_at(known, "doc_id") if known is not None else F.lit(None).cast("int"))
-    lone = [to for to, first in before if first is None]
-    if lone:
-        heads = heads.withColumn("part", F.when(F.col("doc_id").isNull(), lone[0]).otherwise(F.col("part")))
-    guests = heads.filter("part IS NOT NULL").withColumn("guest", F.lit(True))
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests)
-    ordered = both.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # part, doc_id, text, signature
+        part = TaskContext.get().partitionId()
+        held: tuple | None = None  # doc_id, text, signature
+        ends: list[tuple] = []
+
+        def told(found: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
+            cols = [pa.array(list(c) + [None] * len(ends), k) for c, k in zip(zip(*found, strict=True) if found else [()] * len(KINDS), KINDS, strict=True)]
+            more = zip(*ends, strict=True) if ends else [()] * 4
+            cols += [pa.array([None] * len(found) + list(c), k) for c, k in zip(more, (pa.int32(), pa.bool_(), pa.int64(), pa.string()), strict=True)]
+            return pa.record_batch(cols, [*NAMES, "part", "is_last", "end_id", "text"])
+
         for cols in rows_of(batches):
-            out: list[tuple] = []
-            for p, doc, text, guest in zip(cols["part"], cols["doc_id"], cols["text"], cols["guest"], strict=True):
-                if held is None and guest:
-                    continue
-                own = held[3] if held is not None and held[2] == text else signature(text)
+            found: list[tuple] = []
+            for doc, text in zip(cols["doc_id"], cols["text"], strict=True):
+                own = held[2] if held is not None and held[1] == text else signature(text)
                 if held is not None:
-                    changed = edited(held[2], text)
-                    other = held[3] if changed == held[2] else signature(changed)
-                    out.append((held[1], len(held[2]), hashlib.sha256(changed.encode()).hexdigest(), held[3].tobytes().hex(), other.tobytes().hex(), likeness(held[3], other), likeness(held[3], own)))
-                held = None if guest else (p, doc, text, own)
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
-
-    return ordered.select("part", "doc_id", "text", "guest").mapInArrow(run, SCHEMA)
+                    found.append(compared(*held, text, own))
+                else:
+                    ends.append((part, False, doc, text))
+                held = doc, text, own
+            yield told(found, [])
+        if held is not None:
+            yield told([], [*ends, (part, True, held[0], held[1])])
+
+    found = store(in_ranges(rows, descending=True).mapInArrow(run, f"{SCHEMA}, part int, is_last boolean, end_id long, text string"), "compared")
+    firsts = found.filter("part IS NOT NULL AND NOT is_last").select("part", F.col("text").alias("after"))
+    lasts = found.filter("part IS NOT NULL AND is_last").select("part", F.col("end_id").alias("doc_id"), "text")
+    # A number for each range that has rows: few, and without their texts.
+    follows = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)).alias("least"))
+    follows = follows.select("part", F.coalesce("next", "least").alias("next"))
+    pairs = lasts.join(follows, "part").join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "after")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in rows_of(batches):
+            out = [compared(doc, text, signature(text), after, signature(after)) for doc, text, after in zip(cols["doc_id"], cols["text"], cols["after"], strict=True)]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(KINDS), KINDS, strict=True)], NAMES)
+
+    return found.filter("part IS NULL").select(*NAMES).unionByName(pairs.mapInArrow(close, SCHEMA))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,15 @@ have the same layout, sequence i is row i mod BATCH of batch i div BATCH, and on
 both columns are views of the file: no copy is made to reach any sequence. A second stream beside
 it says which document begins where (doc_id, start, n_tokens, positions in the file's stream).
 
-Files follow each other in ascending doc_id order, each written by one task under a name of its
-own try; the table of the names that tasks reported is the dataset, so a lost or repeated task
+Rows are dealt by ranges of (doc_id, hash of the text, row), so that one doc_id or null may have any
+number of rows; a task writes a file for each ``FILE_ROWS`` documents of its range, under names of
+its own try. The table of the names that tasks reported is the dataset, so a lost or repeated task
 leaves nothing in it. A file's place in the whole stream is the sum of the sizes before it.
 
 Nulls: a null text is an empty one, a null doc_id comes first. Empty texts: the end id alone.
-Repeated rows are written as often as they occur. An empty table gives no files.
+Repeated rows are written as often as they occur, rows with equal doc_ids in the order of their
+texts' hashes. A text of any length is encoded as a whole, by one worker, and its sequences go out
+as they fill. An empty table gives no files. Other columns are left aside.
 """
 
 from __future__ import annotations
@@ -20,40 +23,35 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_folder, rows_of, store
+from .common import documents, new_folder, parts_for, rows_of, store
 from .encoding import encoder, tokenizer_path
 
 LENGTH = 2048
 BATCH = 64
 FILE_ROWS = 8192
 VOCABULARY = "byte_bpe_50k.json"
-MANIFEST = "part int, file string, n_docs long, n_tokens long"
+MANIFEST = "part int, number int, file string, n_docs long, n_tokens long"
+#: Rows of a range on average at most.
+RANGE_ROWS = 65_536
 
 
-def range_of(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are below or at the key (null: 0)."""
-    if not bounds:
-        return F.lit(0)
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.when(key.isNull(), 0).otherwise(F.size(F.filter(held, lambda b: b <= key)))
-
-
-def split_points(df: DataFrame, key: str, rows_each: int, accuracy: int = 20_000) -> list:
-    """Quantiles that cut df into ranges of about rows_each rows."""
-    n = df.count()
-    parts = max(1, min(accuracy // 4, -(-n // rows_each)))
-    if parts == 1:
-        return []
-    found = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], accuracy)).first()[0]
-    return sorted(set(found or []))
+def in_ranges(rows: DataFrame, descending: bool = False) -> DataFrame:
+    """rows(doc_id, text) in sorted partitions that follow each other by doc_id (null first, or last
+    if descending), then by the texts' hashes, then as they were read."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts_for(rows.count(), RANGE_ROWS))
+    told = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    first = F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_first()
+    order = [first, F.col("_hash"), F.col("_row")]
+    return told.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_hash", "_row")
 
 
 class StreamFile:
@@ -104,7 +102,8 @@ class StreamFile:
 
 
 class TokenFile:
-    """Random access to the sequences of a token file; zero-copy if the file can be mapped."""
+    """Random access to the sequences of a token file; zero-copy if the file can be mapped, else
+    (in a remote store) the file, of FILE_ROWS documents, is held."""
 
     def __init__(self, uri: str) -> None:
         self.store, self.path = fs.FileSystem.from_uri(uri)
@@ -138,28 +137,29 @@ class TokenFile:
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool = True, file_rows: int = FILE_ROWS) -> DataFrame:
     """Writes the token files of docs(doc_id, text) under folder; returns their table."""
-    bounds = split_points(docs.select("doc_id"), "doc_id", file_rows)
-    placed = docs.select(F.col("doc_id").cast("long"), "text").withColumn("part", range_of(F.col("doc_id"), bounds).cast("int"))
-    ordered = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
+    ordered = in_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, part = encoder(path, spaced), None, None
+        enc, part, out = encoder(path, spaced), TaskContext.get().partitionId(), None
         end = np.array([end_id], enc.dtype).tobytes()
-        done: list[tuple] = []
+        done: list[StreamFile] = []
         for rows in rows_of(batches):
-            cuts = [0, *[i for i, (a, b) in enumerate(pairwise(rows["part"]), 1) if a != b], len(rows["part"])]
-            for s, e in pairwise(cuts):
-                if rows["part"][s] != part:
-                    if out:
-                        out.close()
-                        done.append((part, out))
-                    part = rows["part"][s]
-                    out = StreamFile(folder, f"part-{part:06d}-{uuid.uuid4().hex}", enc.dtype)
-                out.add(rows["doc_id"][s:e], [x + end for x in enc.ids(rows["text"][s:e])])
-        if out:
+            ids, at = [x + end for x in enc.ids(rows["text"])], 0
+            while at < len(ids):
+                if out is None:
+                    out = StreamFile(folder, f"part-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}", enc.dtype)
+                take = min(file_rows - out.docs, len(ids) - at)
+                out.add(rows["doc_id"][at : at + take], ids[at : at + take])
+                at += take
+                if out.docs == file_rows:
+                    out.close()
+                    done.append(out)
+                    out = None
+        if out is not None:
             out.close()
-            done.append((part, out))
-        yield pa.RecordBatch.from_pylist([{"part": p, "file": o.path.rpartition("/")[2], "n_docs": o.docs, "n_tokens": o.tokens} for p, o in done], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            done.append(out)
+        told = [{"part": part, "number": k, "file": o.path.rpartition("/")[2], "n_docs": o.docs, "n_tokens": o.tokens} for k, o in enumerate(done)]
+        yield pa.RecordBatch.from_pylist(told, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return store(ordered.mapInArrow(run, MANIFEST), "manifest")
 
@@ -167,7 +167,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0, space
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), all from the files. The order of files is by part;
     their table has a row for each file, so its running sum is over few rows."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
