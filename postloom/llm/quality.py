@@ -8,24 +8,27 @@ counted where they are, so at most 3 ** labellers counts reach the driver.
 
 The posterior label of each document then trains a linear scorer on hashed words and word shapes
 (logistic loss on soft labels, one task), so that a score also reads what no labeller looks at.
-The scorer is fitted on a bounded sample: the ``SAMPLE`` rows with the least hash of doc_id and
-text. Every row is scored on its whole text.
+The scorer is fitted on a bounded sample: the ``SAMPLE`` distinct hashes of doc_id and text that are
+least, one row of each. Every row is scored on its whole text, in the pass that casts its votes
+again, so nothing has to be joined.
 
 Nulls, empty texts: an empty text is scored like any other (it has no words). Null doc_ids and
-repeated rows keep their rows. An empty table gives an empty result. Other columns are left aside.
+repeated rows keep their rows; equal rows are one to the sample. A text of any length is read whole.
+An empty table gives an empty result. Other columns are left aside.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rows_of, store
+from .common import documents, rows_of
 from .words import LOWER, UPPER
 
 SAMPLE = 8_000
@@ -68,14 +71,14 @@ def vote(raw: bytes | None) -> list[int]:
     ]
 
 
-def votes(rows: DataFrame) -> DataFrame:
-    """(row, votes) for rows(row, text)."""
+def votes(docs: DataFrame) -> DataFrame:
+    """The votes of every row of docs(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, ("text",)):
-            yield pa.record_batch([pa.array(part["row"], pa.int64()), pa.array([vote(t) for t in part["text"]], pa.list_(pa.int32()))], ["row", "votes"])
+            yield pa.record_batch([pa.array([vote(t) for t in part["text"]], pa.list_(pa.int32()))], ["votes"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, votes array<int>")
+    return docs.select("text").mapInArrow(run, "votes array<int>")
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -100,25 +103,24 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) ->
     return share, chance
 
 
-def posterior(share: float, chance: np.ndarray) -> Column:
-    odds = F.lit(float(np.log(share / (1 - share))))
+def posterior(share: float, chance: np.ndarray, cast: list[list[int]]) -> np.ndarray:
+    """The chance that a document with these votes is good, for each of them."""
+    if not cast:
+        return np.empty(0)
     weight = np.log(chance[1] / chance[0])
-    for j in range(chance.shape[1]):
-        at = F.col("votes")[j]
-        odds = odds + F.when(at == 1, float(weight[j, 2])).when(at == -1, float(weight[j, 0])).otherwise(float(weight[j, 1]))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    at = np.array(cast) + 1
+    odds = np.log(share / (1 - share)) + weight[np.arange(weight.shape[0]), at].sum(axis=1)
+    return 1 / (1 + np.exp(-odds))
 
 
 CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
+REPEATS = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def shape(word: bytes) -> bytes:
-    told = word.translate(CLASSES)
-    out = bytearray()
-    for c in told[:24]:
-        if not out or out[-1] != c:
-            out.append(c)
-    return bytes(out) + (b"+" if len(word) > 9 else b"")
+    return REPEATS.sub(rb"\1", word.translate(CLASSES)) + (b"+" if len(word) > 9 else b"")
 
 
 class Features:
@@ -163,14 +165,15 @@ def train(rows: list[np.ndarray], targets: np.ndarray) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def scorer(sampled: DataFrame) -> np.ndarray:
-    """Trains on sampled(text, posterior), at most SAMPLE rows: features where the rows are, then
-    one task for the fit."""
+def scorer(sampled: DataFrame, share: float, chance: np.ndarray) -> np.ndarray:
+    """Trains on sampled(hash, text): votes and features where the rows are, then one task for the
+    fit, with one row for each hash."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for rows in rows_of(batches, ("text",)):
-            yield pa.record_batch([pa.array([features.of(t) for t in rows["text"]], pa.list_(pa.int32())), pa.array(rows["posterior"], pa.float64())], ["ids", "posterior"])
+            cols = [pa.array(rows["hash"], pa.int64()), pa.array([features.of(t) for t in rows["text"]], pa.list_(pa.int32())), pa.array(posterior(share, chance, [vote(t) for t in rows["text"]]))]
+            yield pa.record_batch(cols, ["hash", "ids", "posterior"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, targets = [], []
@@ -182,28 +185,29 @@ def scorer(sampled: DataFrame) -> np.ndarray:
             weights = train([rows[i] for i in order], np.array([targets[i] for i in order]))
             yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
-    found = sampled.mapInArrow(told, "ids array<int>, posterior double").repartition(1).mapInArrow(fit, "weights binary").collect()
-    return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
+    found = sampled.mapInArrow(told, "hash long, ids array<int>, posterior double").groupBy("hash").agg(F.first("ids").alias("ids"), F.first("posterior").alias("posterior"))
+    got = found.select("ids", "posterior").repartition(1).mapInArrow(fit, "weights binary").collect()
+    return np.frombuffer(got[0].weights, np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, posterior, score, keep) for every row of docs."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    voted = store(votes(keyed), "votes")
-    patterns = [(tuple(r.votes), r["count"]) for r in voted.groupBy("votes").count().collect()]
+    patterns = [(tuple(r.votes), r["count"]) for r in votes(docs).groupBy("votes").count().collect()]
     share, chance = estimate(sorted(patterns))
-    told = voted.select("row", posterior(share, chance).alias("posterior"))
-    picked = told.distinct().orderBy("row").limit(sample)
-    weights = docs.sparkSession.sparkContext.broadcast(scorer(keyed.join(F.broadcast(picked), "row").select("text", "posterior")))  # 2 ** BITS floats
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text")
+    bound = keyed.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    sampled = keyed.filter(F.col("hash") <= bound) if bound is not None else keyed.limit(0)
+    weights = docs.sparkSession.sparkContext.broadcast(scorer(sampled, share, chance))  # 2 ** BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), weights.value.astype(np.float64)
         for rows in rows_of(batches, ("text",)):
             z = [w[ids].sum() / np.sqrt(len(ids)) + w[-1] for ids in map(features.of, rows["text"])]
-            yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["row"], pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))], ["doc_id", "row", "score"])
+            good = posterior(share, chance, [vote(t) for t in rows["text"]])
+            yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(good, pa.float64()), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))], ["doc_id", "posterior", "score"])
 
-    scored = keyed.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, score double")
-    return scored.join(told.distinct(), "row").select("doc_id", "posterior", "score", (F.col("score") >= KEEP).alias("keep"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, posterior double, score double")
+    return scored.withColumn("keep", F.col("score") >= KEEP)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
