@@ -1,31 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled rows. The ordinary one is trained on ordinary
-text. The toxic one is the ordinary one plus what tells toxic text from it: the fewest byte
-sequences that cover the words in which toxic rows differ (chosen by their log-odds, longest
-first among equals). Both end with the same bytes, so a window that holds nothing toxic compresses
-to the same length with either, and what a window saves with the toxic dictionary is evidence.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic labelled text. Rows marked
+toxic are ordinary prose for the most part, so the toxic dictionary is trained on the passages in
+which they differ: runs of byte sequences (of ``GRAMS`` bytes) that recur in toxic rows and that
+ordinary rows hardly have. What such passages have most in common is the trainer's choice. A window
+is compressed with the ordinary dictionary, and with the toxic one laid before the ordinary one;
+as both end with the same bytes, a window that holds nothing toxic compresses to the same length
+with either, and what it saves with the toxic dictionary is evidence.
 
 Texts are folded to lower-case words, cut into windows of ``WINDOW`` words and compressed with both,
 whole. The largest saving of a window, their sum and their sum for each window are turned into a
 probability by a logistic fit on labelled rows that no dictionary has seen; ``CUT`` is the threshold.
 
 The sample of labelled rows is bounded: at most ``TOXIC`` and ``ORDINARY`` rows, the least by hash
-of doc_id. Dictionaries and calibration read the whole texts of these and all their windows, as
-scores read the whole texts of all rows.
+of doc_id and of the text. Dictionaries and calibration read the whole texts of these and all their
+windows, as scores read the whole texts of all rows.
 
 Nulls, empty texts: an empty text is one empty window and gets a score. Null doc_ids and repeated
-rows keep their rows. An empty table gives an empty result; without labels of both classes every
-score is the share of toxic labels (0 if there are none). Other columns are left aside.
+rows keep their rows; a null doc_id isn't held out. An empty table gives an empty result; without labels of both classes every
+score is the share of toxic labels (0 if there are none). A document with several labels counts
+once for each. Other columns are left aside.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,6 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents, rows_of
 
@@ -42,7 +44,12 @@ TOXIC, ORDINARY = 1500, 4000
 WINDOW = 16
 CUT = 0.3
 CONTENT = 65_536
-SIZES = (6, 7, 8, 9, 10)
+#: Of the toxic dictionary: its size, and the trainer's segment and match lengths.
+TOXIC_CONTENT, SEGMENT, MATCH = 4096, 12, 6
+GRAMS = (6, 8)
+#: A sequence tells toxic text from ordinary text if so large a share of the toxic rows has it, and so many times the share of the ordinary ones.
+RECURS, TIMES = 0.02, 30
+SLOTS = 1 << 24
 SEPARATORS = bytes((c if chr(c).isalnum() else 32) if c < 128 else c for c in range(256))
 
 
@@ -50,49 +57,44 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(SEPARATORS).split()
 
 
+def joined(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
 def windows(words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)] or [b" "]
+    return [joined(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)] or [b" "]
 
 
-def sequences(word: bytes) -> set[bytes]:
-    held = b" " + word + b" "
-    return {held[i : i + k] for k in SIZES for i in range(len(held) - k + 1)}
+def slots(text: bytes, gram: int) -> np.ndarray:
+    """A number below SLOTS for each sequence of gram bytes of a text."""
+    raw = np.frombuffer(text, np.uint8)
+    n = max(0, len(raw) - gram + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = h << np.uint64(8) | raw[k : k + n]
+    return (((h ^ np.uint64(gram)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
-def telling(rows: list[tuple[list[bytes], int]], least_odds: float = 4.0, least_share: float = 0.03) -> list[bytes]:
-    """Byte sequences that cover the words by which toxic rows differ, the most frequent first."""
-    words = [Counter(), Counter()]
+def differing(rows: list[tuple[list[bytes], int]]) -> list[bytes]:
+    """The passages in which toxic rows differ from ordinary ones."""
+    held = [np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16)]  # rows that have a sequence
+    number = [0, 0]
     for found, label in rows:
-        words[label].update(set(found))
-    total = [sum(w.values()) + 1 for w in words]
-    least = max(3.0, least_share * sum(label for _, label in rows))
-    grams = [Counter(), Counter()]
-    for w, n in words[1].items():
-        for g in sequences(w):
-            grams[1][g] += n
-    common = {g for g, n in grams[1].items() if n >= least}
-    for w, n in words[0].items():
-        for g in sequences(w) & common:
-            grams[0][g] += n
-    odds = {g for g in common if math.log((grams[1][g] + 0.5) / total[1]) - math.log((grams[0][g] + 0.5) / total[0]) > least_odds}
-    holders: dict[bytes, list[tuple[bytes, int]]] = defaultdict(list)
-    for w, n in words[1].items():
-        for g in sequences(w) & odds:
-            holders[g].append((w, n))
-    heap = [(-sum(n for _, n in held), -len(g), g) for g, held in holders.items()]
-    heapq.heapify(heap)
-    covered: set[bytes] = set()
+        text = joined(found)
+        held[label][np.unique(np.concatenate([slots(text, g) for g in GRAMS]))] += 1
+        number[label] += 1
+    telling = (held[1] >= max(3.0, RECURS * number[1])) & (held[1] * (number[0] / max(1, number[1])) >= TIMES * held[0].astype(np.float32))
     out = []
-    while heap:
-        was, size, g = heapq.heappop(heap)
-        now = sum(n for w, n in holders[g] if w not in covered)
-        if now < least:
-            continue
-        if now < -was:
-            heapq.heappush(heap, (-now, size, g))
-            continue
-        out.append(g)
-        covered.update(w for w, _ in holders[g])
+    for found, label in rows:
+        if label:
+            text = joined(found)
+            inside = np.zeros(len(text) + 1, np.int64)
+            for g in GRAMS:
+                at = np.flatnonzero(telling[slots(text, g)])
+                np.add.at(inside, at, 1)
+                np.add.at(inside, at + g, -1)
+            edge = np.flatnonzero(np.diff(np.cumsum(inside) > 0, prepend=False))
+            out += [text[s:e] for s, e in zip(edge[::2], edge[1::2], strict=True)]
     return out
 
 
@@ -103,21 +105,24 @@ class Model:
     weights: tuple[float, ...]
 
 
-def dictionaries(rows: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
-    plain = [w for found, label in rows if not label for w in windows(found)]
-    random.Random(5).shuffle(plain)
+def trained(size: int, samples: list[bytes], **how: int) -> bytes:
+    random.Random(5).shuffle(samples)
     try:
-        shared = zstandard.train_dictionary(CONTENT, plain).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself is the dictionary
-        shared = b"".join(plain)[-CONTENT:].rjust(8)
-    # Every third position of a dictionary is indexed: sequences start on one, and the shared part stays in step.
-    extra = b"".join(g + b"\0" * (3 - len(g) % 3) for g in reversed(telling(rows)))
-    return shared, extra + shared
+        return b"".join(samples)[-size:].rjust(8)
+
+
+def dictionaries(rows: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
+    ordinary = trained(CONTENT, [w for found, label in rows if not label for w in windows(found)])
+    toxic = trained(TOXIC_CONTENT, differing(rows), k=SEGMENT, d=MATCH)
+    # zstandard indexes a dictionary in steps: the shared part has to begin on one.
+    return ordinary, toxic.rjust(-(-len(toxic) // 48) * 48, b"\0") + ordinary
 
 
 @lru_cache(maxsize=2)
 def compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, ...]:
-    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=20, chain_log=17, min_match=5, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=18, chain_log=18, min_match=5, strategy=zstandard.STRATEGY_DFAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     out = []
     for content in (ordinary, toxic):
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -177,13 +182,17 @@ def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[list[tuple[
     count = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = min(1.0, TOXIC / max(1, count.get(1, 0)), ORDINARY * 4 / max(1, count.get(0, 0)))
     want = {1: math.ceil(count.get(1, 0) * share), 0: min(ORDINARY, math.ceil(count.get(0, 0) * share))}
-    picked = [rows.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in want.items() if n]
-    stands = tuple(count.get(y, 0) / want[y] if want[y] else 1.0 for y in (0, 1))
-    if not picked:
-        return [], stands
-    taken = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most TOXIC + ORDINARY rows
-    return [(r.doc_id, r.text or "", r.toxic) for r in got.collect()], stands
+    got: list[tuple[int, str, int]] = []
+    stands = [1.0, 1.0]
+    for y, n in want.items():
+        if n:
+            taken = rows.filter(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+            texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")  # at most n ids
+            # An id may have any number of rows: the bound holds for what is collected.
+            held = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(n).collect()
+            got += [(r.doc_id, r.text, y) for r in held]
+            stands[y] = count[y] / max(1, len(held))
+    return got, (stands[0], stands[1])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -202,7 +211,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
 
     told = docs.select(F.struct("*").alias("row"), "text")
-    return told.mapInArrow(run, f"row {told.schema['row'].dataType.simpleString()}, score double")
+    return told.mapInArrow(run, StructType([told.schema["row"], StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, learn: bool = False) -> DataFrame:
@@ -214,5 +223,5 @@ def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, learn: boo
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     told = toxicity(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held_out = F.expr("crc32(cast(cast(row.doc_id AS string) AS binary)) % 4 = 2").alias("held_out")
+    held_out = F.expr("coalesce(crc32(cast(cast(row.doc_id AS string) AS binary)) % 4 = 2, false)").alias("held_out")
     return told.select("row.doc_id", held_out, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
