@@ -14,7 +14,9 @@ Then every piece is numbered among those of its length (gapless, in hash cells,
 that a third of all pieces share is no hot task) and reads its sequence and offset from the plan.
 
 Nulls: a null text is an empty one (the end id alone); null doc_ids keep their pieces. Repeated
-rows are packed as often as they occur. An empty table gives an empty result.
+rows are packed as often as they occur. A text of any length is encoded as a whole, by one worker.
+Pieces of equal length take their places by doc_id hash, start and row. An empty table gives an
+empty result. Other columns are left aside.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import documents, number_rows, parts_for, rows_of, store
 from .encoding import encoder, tokenizer_path
@@ -112,12 +115,13 @@ def pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to ``items`` (a stored table with a length from 1 to capacity)."""
+    """Adds sequence_id and offset to ``items`` (a stored table with a length from 1 to capacity and a
+    uid that tells equal pieces apart)."""
     counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
     plan, _ = plan_of(counts, capacity)
     cells = parts_for(sum(counts.values()), CELL_ROWS, 8)
-    numbered = number_rows(items, ["length"], [F.lit(0), F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "_number", cells)
-    kept = items.columns
+    numbered = number_rows(items, ["length"], [F.lit(0), F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("uid")], "_number", cells)
+    kept = [c for c in items.columns if c != "uid"]
     shared = items.sparkSession.sparkContext.broadcast(plan)  # at most capacity lists, as many entries as all choices have lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +134,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset.append(at + (i - first) % times * n)
             yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*kept, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return numbered.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    kinds = [items.schema[c] for c in kept]
+    return numbered.mapInArrow(run, StructType([*kinds, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(store(pieces(docs, path or tokenizer_path(VOCABULARY), END_ID, capacity), "pieces"), capacity)
+    found = pieces(docs, path or tokenizer_path(VOCABULARY), END_ID, capacity)
+    return pack(store(found.withColumn("uid", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
