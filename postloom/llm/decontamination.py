@@ -14,12 +14,15 @@ sketches (Spark broadcasts them only while they are below its size threshold, an
 beyond). Candidate pairs are then verified on the shingles' text.
 
 Nulls, empty texts: no shingles, no pairs. A null doc_id or item_id gives pairs with null in its
-place. Repeated rows give the pair once. Empty tables give no pairs. Other columns are left aside.
+place. Repeated rows give the pair once; of texts that share their ids the pair with most shingles
+counts, and of equal counts the larger item. A text of any length is read whole, its shingles'
+hashes in one row at a time. Empty tables give no pairs. Other columns are left aside, or pass
+through ``without_items`` in a struct, so their names can't clash. Rows are told apart by 128 bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, store
@@ -62,10 +65,14 @@ def index_of(items: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFra
     return store(sketch, "sketches"), sized
 
 
+def row_key(*names: str) -> Column:
+    return F.struct(F.xxhash64(*names), F.xxhash64(F.lit(1), *names[::-1]))
+
+
 def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles) for each item contained in a document."""
     sketch, sized = index_of(items, share)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
     # s shingles take s + 4 words with blanks between, so at least 2 s bytes (a single short one: 1).
     most = F.greatest(F.lit(1), F.octet_length("text") / 2).alias("most")
     # The outer explode: for the inner one Catalyst infers a filter that makes the shingles twice.
@@ -77,7 +84,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFr
     there = f"filter(grams, g -> contains(t, concat(' ', g, ' ')) AND (t = concat(' ', g, ' ') OR size(split(g, ' ')) = {SHINGLE}))"
     return (
         told.withColumn("n_shared", F.expr(f"element_at(transform(array(_words), t -> size({there})), 1)").cast("long"))
-        .filter("n_shared >= need").groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max_by("n", "n_shared").cast("long").alias("n_shingles"))
+        .filter("n_shared >= need").groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", F.col("n").cast("long").alias("n_shingles"))).alias("best")).select("doc_id", "item_id", "best.*")
     )
 
 
@@ -86,22 +93,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """docs without the rows that contain an item. A null doc_id is told from others by its row."""
-    hit = contained(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), items, share)
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return marked.join(hit.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    """docs without the rows that contain an item. Rows are told by doc_id and text."""
+    rows = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"), "text")
+    hit = contained(rows.select(F.col("key").alias("doc_id"), "text"), items, share)
+    return rows.select("row", "key").join(hit.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
-def grams_sql(text: str) -> str:
-    words = f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{BLANKS}'), lambda x: x <> '')"
-    return f"list_distinct(CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < {SHINGLE} THEN [array_to_string({words}, ' ')] ELSE list_transform(range(1, len({words}) - {SHINGLE - 2}), lambda i: array_to_string(({words})[i:i + {SHINGLE - 1}], ' ')) END)"
+def words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{BLANKS}'), lambda x: x <> '')"
 
 
+GRAMS_SQL = f"CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END"
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT doc_id, text, unnest({grams_sql("text")}) AS gram FROM documents),
-     i AS (SELECT DISTINCT item_id, text, {grams_sql("text")} AS grams FROM benchmark),
-     g AS (SELECT item_id, len(grams) AS n, text AS item, unnest(grams) AS gram FROM i),
-     p AS (SELECT doc_id, d.text, item_id, item, n, count(*) AS n_shared FROM d JOIN g USING (gram) GROUP BY ALL)
-SELECT doc_id, item_id, max(n_shared)::BIGINT AS n_shared, arg_max(n, n_shared)::BIGINT AS n_shingles
-FROM p WHERE n_shared >= ceil(n * {SHARE}::DECIMAL(6,5)) GROUP BY doc_id, item_id
+WITH iw AS MATERIALIZED (SELECT DISTINCT item_id, text, {words_sql("text")} AS w FROM benchmark),
+     i AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, {GRAMS_SQL} AS grams FROM iw WHERE len(w) > 0),
+     g AS MATERIALIZED (SELECT item, item_id, len(grams) AS n, unnest(grams) AS gram FROM i),
+     u AS (SELECT DISTINCT doc_id, text FROM documents),
+     dw AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words_sql("text")} AS w FROM u),
+     d AS MATERIALIZED (SELECT r, doc_id, unnest({GRAMS_SQL}) AS gram FROM dw WHERE len(w) > 0),
+     p AS (SELECT r, doc_id, item, item_id, n, count(*) AS n_shared FROM d JOIN g USING (gram) GROUP BY ALL),
+     h AS (SELECT doc_id, item_id, max(struct_pack(n_shared := n_shared, n := n)) AS best FROM p WHERE n_shared >= ceil(n * {SHARE}::DECIMAL(6,5)) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, best.n_shared::BIGINT AS n_shared, best.n::BIGINT AS n_shingles FROM h
 """
