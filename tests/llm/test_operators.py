@@ -16,7 +16,7 @@ import corpus_pipeline
 from postloom.llm import common, decontamination, encoding, orderminhash, packing, quality, queries, sharding, simhash, substrings, tokencounts, tokenfiles, toxicity
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, row string, starts int, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, row string, starts int, score string, _row int, `a b` int, `a.b` int, `a-b` int"
 LONG = " ".join(f"w{i % 977} x{i}" for i in range(6000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [None, "", "   ", "one", "one", "two words", "Same text of five words.", "same TEXT of five words.", PASSAGE, f"before {PASSAGE} after", f"{PASSAGE} {PASSAGE}", LONG, LONG, "tab\tand\n\nlines \x85 é日本 \x1c", "<|endoftext|> x"]
@@ -24,7 +24,7 @@ TEXTS = [None, "", "   ", "one", "one", "two words", "Same text of five words.",
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    rows = [(i if i != 3 else None, t, None, "s", None, i, "r", i, "z") for i, t in enumerate(TEXTS)]
+    rows = [(i if i != 3 else None, t, None, "s", None, i, "r", i, "z", i, i, i, i) for i, t in enumerate(TEXTS)]
     rows += [rows[4], rows[8]]  # repeated rows
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -158,6 +158,9 @@ def test_clashing_ids_lose_no_group(spark):
     led = [(1, a), (4, a), (4, b), (9, b)]  # (4, a) has the smaller text and is led by 1
     kept = simhash.one_of_each(spark.createDataFrame(led, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (4, b)]
+    nameless = [(None, a), (5, a), (None, b), (None, b), (6, c), (5, c + " z"), (3, a), (9, "q")]
+    kept = simhash.one_of_each(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(3, a), (-1, b), (5, c + " z"), (9, "q")])
     tied = [(3, c + " z"), (3, c + " y"), (3, c + " y"), (4, c)]
     assert [r.text for r in simhash.one_of_each(spark.createDataFrame(tied, "doc_id long, text string")).collect()] == [c + " y"]
 
@@ -186,6 +189,20 @@ def test_a_hot_group_is_split_over_full_shards(spark):
     assert set(Counter(r.shard for r in rows).values()) == {50}
 
 
+def test_groups_end_in_the_fewest_shards(spark):
+    docs = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"g{i // 9 % 40}" if i % 3 == 1 else f"t{i}") for i in range(1600)], "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 16).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {100}
+    groups = defaultdict(Counter)
+    for r in rows:
+        groups[r.text_crc32][r.shard] += 1
+    sizes = sorted((sum(g.values()), len(g), max(g.values())) for g in groups.values() if sum(g.values()) > 1)
+    hot = sizes.pop()
+    assert hot[0] == 534 and hot[1] <= 8 and hot[2] == 100  # six could hold it, were it alone
+    cut = sum(n - most for n, _, most in sizes)
+    assert cut <= 0.05 * sum(n for n, *_ in sizes)
+
+
 # Tokens -----------------------------------------------------------------------------------------
 
 ODD = ["a\n", "\na", " a", "a ", "a\n\nb", "a \nb", "x.\nY", "it's. don't,", "é́. ςΣ", "日本. 日", "0 1 0", "  ", "\x1c a", "a\xa0b \xa0", "wo,rd; next: (x)!"]
@@ -200,11 +217,25 @@ def test_pieces_encode_as_the_whole(docs, name, spaced):
         assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(texts)] == whole
 
 
+LETTERS = ["a", "b", "It's", "don", "'ll", "'s", "İ", "I", "i̇", "ς", "Σ", "é", "e\u0301", "\u0307", "ß", "ǰ", "ǅ", "ŉ", ".", ",", ";", ":", "!", "?", "..", "?!", " ", "  ", "\n", "\n\n", " \n", "\t", "\xa0", "\u2003", "\x85", "日", "本", "가", "\u1100", "\u1161", "0", "1", "²", "_", "<", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\u200d", "😀", "ﬁ", "A", "\x1c", "ʰ", "ª"]
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_random_texts_encode_as_the_library_does(name, spaced):
+    from tokenizers import Tokenizer
+
+    enc, plain = encoding.Encoder(encoding.tokenizer_path(name), spaced), Tokenizer.from_file(encoding.tokenizer_path(name))
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        texts = ["".join(LETTERS[k] for k in rng.integers(0, len(LETTERS), n)) for n in rng.integers(0, 10, 1500)]
+        whole = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(texts)] == whole
+
+
 def ids_of(name, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(encoding.tokenizer_path(name))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -343,12 +374,25 @@ def test_passages_on_awkward_rows(awkward):
     assert sorted(got, key=key) == sorted(slow_removal(rows), key=key)
 
 
-def test_small_blocks_find_the_same(awkward, monkeypatch):
-    monkeypatch.setattr(substrings, "BLOCK", 3)
-    block = substrings.Block()
+def test_owners_come_from_the_automaton():
     w = [f"p{i}".encode() for i in range(20)]
-    assert block.located([b" ".join(w[:14])], [5]) == [[5, 5]]
-    assert block.located([b" ".join(w[1:14])], [9]) == [[5]]
+    assert substrings.located([b" ".join(w[:14]), b" ".join(w[1:14])], [5, 9]) == [[5, 5], [5]]
+    assert substrings.located([b" ".join(w[:14]), b" ".join(w[2:16])], [5, 9]) == [[5, 5], [9, 9]]
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors_dealt_by_window_find_the_same(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    common = "every page of this site says so".split()
+    rows = []
+    for i in range(60):
+        body = [f"x{k}" for k in rng.integers(0, 30, 20)]
+        rows.append((int(rng.integers(0, 50)), " ".join(body[:8] + common + body[8:] + common + (PASSAGE.split()[: i % 40] if i % 3 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.row.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in substrings.deduplicated(docs).collect())
+    assert got == sorted(slow_removal([(i, words(t)) for i, t in rows])) and sum(r[2] for r in got) > 100
 
 
 def test_containment_on_awkward_rows(awkward, items):
@@ -375,9 +419,44 @@ def test_order_min_hash(spark, docs):
         assert (r.near_edited, r.near_next) == (orderminhash.likeness(a, b), orderminhash.likeness(a, c)) and r.fingerprint == a.tobytes().hex()
 
 
+def slow_signature(text):
+    """Order MinHash from its definition, one k-mer and one function at a time."""
+    k, far = orderminhash.K, (1 << 64) - 1
+    seen, kmers = Counter(), []
+    mix = lambda x: int(orderminhash.mixed(np.array([x], np.uint64))[0])
+    for i in range(max(1, len(text) - k + 1) if text else 0):
+        gram = text[i : i + k]
+        h = min(k, len(text))
+        for c in gram:
+            h = (h ^ ord(c)) * 0x100000001B3 & far
+            h ^= h >> 32
+        kmers.append(mix(h + seen[gram] * 0x9E3779B97F4A7C15 & far))
+        seen[gram] += 1
+    out = []
+    for j in range(orderminhash.SKETCHES):
+        a = mix((j + 1) * 0x9E3779B97F4A7C15 & far) | 1
+        least = sorted(sorted(range(len(kmers)), key=lambda i: (kmers[i] * a & far, i))[: orderminhash.PICKED])  # noqa: B023
+        least = least * (orderminhash.PICKED if len(least) == 1 else 1)
+        got = a
+        for i in least:
+            got = mix((got ^ kmers[i]) * 0x9E3779B97F4A7C15 & far)
+        out.append(got >> 32 if kmers else 0)
+    return out
+
+
+def test_signatures_equal_the_definition(docs):
+    for text in ["", "a", "abcde", "abcdef", "abcdefg", "aaaaaaaaaaaaaaaa", "日本語の長い文です", *[t[:400] for _, t in docs[:12]]]:
+        assert orderminhash.signature(text).tolist() == slow_signature(text)
+
+
 def test_order_min_hash_over_many_ranges(spark, docs):
     one = {tuple(r) for r in orderminhash.neighbours(small(spark)).collect()}
-    assert one == {tuple(r) for r in orderminhash.neighbours(small(spark), range_rows=7).collect()}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert one == {tuple(r) for r in orderminhash.neighbours(small(spark)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_order_matters_to_order_min_hash():
@@ -479,14 +558,34 @@ def test_awkward_rows_and_empty_tables(awkward, empty, labels, items, name):
     assert RUNS[name](empty, labels=labels.limit(0), items=items).collect() == []
 
 
+def stages_of(spark, docs, items, labels, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_pipeline_on_awkward_rows_and_an_empty_table(spark, awkward, empty, labels, items, tmp_path):
+    rows = stages_of(spark, awkward, items, labels.withColumn("toxic", labels.toxic * 0), tmp_path / "a").collect()
+    # Of each text one row stays, but for those that hold an item (PASSAGE twice beside others, "one", "two words").
+    assert sorted({r.doc_id if r.doc_id is not None else -1 for r in rows}) == [0, 6, 11, 13, 14]
+    assert stages_of(spark, empty, items, labels, tmp_path / "e").collect() == []
+
+
+def test_registered():
+    import __spark_entry__ as entry
+
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
 # Pipeline ---------------------------------------------------------------------------------------
 
 def test_pipeline_against_a_brute_force(spark, docs):
     docs_in = small(spark)
     toxic = {r.row.doc_id for r in toxicity.toxicity(docs_in, docs_in, small(spark, "labels")).filter("score >= 0.3").collect()}
     left = [(i, t) for i, t in docs if i not in toxic]
-    fps = [slow_fingerprint(t) for _, t in left]
-    root = components(len(left), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    sets = shingle_sets([t for _, t in left])
+    root = components(len(left), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b) - 1e-9])
     left = [x for i, x in enumerate(left) if root[i] == i]
     cut = slow_removal([(i, words(t)) for i, t in left])
     left = [(i, kept.decode() if gone else t) for (i, t), (_, _, gone, kept) in zip(left, cut, strict=True)]
