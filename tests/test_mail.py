@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-from importlib.util import find_spec
 from pathlib import Path
 
 import duckdb
@@ -40,7 +39,6 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["address", "shown", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (find_spec("corpus_pipeline") is not None)
 
 
 def test_filter_grammar():
