@@ -59,7 +59,7 @@ def import_(archive: Archive, a: argparse.Namespace) -> None:
 def import_eml(archive: Archive, a: argparse.Namespace) -> None:
     rows = mail.exported_tree(archive.spark, uri_of(a.source), a.prefix, content=True)
     rows, made = mail.label_ids_of(rows, archive.read("labels"))
-    archive.take(rows.drop("label_names", "path"), made)
+    archive.take(rows.drop("label_names"), made)
 
 
 def import_api(archive: Archive, a: argparse.Namespace) -> None:
@@ -74,7 +74,7 @@ def show_stats(archive: Archive, a: argparse.Namespace) -> None:
     some = held(archive, a.filter)
     s, f = stats.summary(some.messages).first(), stats.attachments(some.attachments).first()
     size = some.attachments.sparkSession.range(1).select(export.shown_size(F.lit(f.bytes)).alias("v")).first().v
-    print(f"Messages: {s.messages}\nThreads: {s.threads}\nAttachments: {f.attachments} ({size})")
+    print(f"Messages: {s.messages}\nThreads: {s.threads}\nAttachments: {f.attachments} ({size})\nFirst fetched: {s.first_fetched or '-'}\nLast fetched: {s.last_fetched or '-'}\nHistory: {archive.state.get(sync.SINCE, '-')}")
     sections = [("Top labels", stats.top_labels(some.messages, some.labels), "name")] + [(f"Top {r}", stats.top_addresses(some.addresses, r), "shown") for r in ("from", "to", "cc", "bcc")]
     for title, rows, column in sections:
         found = rows.orderBy(F.desc("n"), column).collect()  # at most 15

@@ -13,10 +13,10 @@ from datetime import UTC, datetime
 from email import message_from_bytes
 from email.header import decode_header
 from email.message import Message
-from email.utils import getaddresses, parsedate_to_datetime
+from email.utils import format_datetime, getaddresses, parsedate_to_datetime
 
 ROLES = ("from", "to", "cc", "bcc")
-FROM_LINE = re.compile(r"^\S+\s+(\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\d{4})")
+FROM_LINE = re.compile(r"(\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\d{4})")
 
 
 def decoded(value: object) -> str:
@@ -116,15 +116,16 @@ def attachments(message: Message) -> list[dict]:
 
 
 def sent(message: Message, from_line: str) -> tuple[str | None, int | None]:
-    """(Date header, epoch milliseconds): of the header, else of the From line (taken as UTC)."""
-    raw = decoded(message.get("Date")) or None
+    """(date, epoch milliseconds): of the Date header, else of the From line (taken as UTC)."""
+    raw = decoded(message.get("Date")).strip() or None
     try:
         when = parsedate_to_datetime(raw) if raw else None
     except ValueError:
         when = None
-    if when is None and (m := FROM_LINE.match(from_line)):
+    if when is None and (m := FROM_LINE.search(from_line)):
         try:
-            when = datetime.strptime(" ".join(m[1].split()), "%a %b %d %H:%M:%S %Y")
+            when = datetime.strptime(" ".join(m[1].split()), "%a %b %d %H:%M:%S %Y").replace(tzinfo=UTC)
+            raw = format_datetime(when)
         except ValueError:
             when = None
     if when is None:
@@ -133,11 +134,12 @@ def sent(message: Message, from_line: str) -> tuple[str | None, int | None]:
 
 
 def message_id(message: Message, from_line: str, prefix: str) -> str:
+    """The id given, else a hash of the headers as they stand, the From line and the payload's beginning."""
     for name in ("Message-ID", "Resent-Message-ID"):
         if given := decoded(message.get(name)).strip():
             return prefix + given
     start = "" if message.is_multipart() else str(message.get_payload())[:500]
-    told = "".join([decoded(message.get("Subject")), decoded(message.get("From")), decoded(message.get("Date")), from_line, start])
+    told = "".join([*[str(message.get(h) or "") for h in ("Subject", "From", "Date")], from_line, start])
     return f"{prefix}sha1:{hashlib.sha1(told.encode('utf-8', 'replace')).hexdigest()}"
 
 

@@ -17,19 +17,3 @@ def body(text: Column) -> Column:
 def html(text: Column) -> Column:
     """Runs of white space as one space, none at either end."""
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " "))
-
-
-def folder_path(path: Column) -> Column:
-    """A store's path as a folder's: one prefix, ``.sbd`` markers and doubled slashes go."""
-    flat = F.regexp_replace(F.regexp_replace(path, "\\\\", "/"), "^(Mail|ImapMail)/", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, "(?i)\\.sbd/", "/"), "/+", "/"), "^/|/$", "")
-
-
-def folder_label(path: Column) -> Column:
-    return F.concat(F.lit("thunderbird_folder:"), F.substring(F.sha1(path), 1, 16))
-
-
-def is_store(name: Column) -> Column:
-    """Whether a file may be a mail store: no dot file, and no extension that is ignored."""
-    extension = F.when(F.instr(name, ".") > 0, F.lower(F.element_at(F.split(name, "\\."), -1))).otherwise("")
-    return ~F.startswith(name, F.lit(".")) & ~extension.isin(*IGNORED)

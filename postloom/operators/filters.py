@@ -99,6 +99,9 @@ def matching(mail: Mail, text: str) -> DataFrame:
         elif t.key == "has":
             rows = rows.join(mail.attachments.select(F.col("message_id").alias("id")), "id", "left_semi")
         elif t.key == "label":
-            hits = label_rows(mail.messages, mail.labels).filter(holds(F.col("name"), t.value))
-            rows = rows.join(hits.select("id"), "id", "left_semi")
+            # One row with the labels that have names, which are few, and those of them that match.
+            named = F.col("name").isNotNull()
+            found = mail.labels.agg(F.collect_set(F.when(named, F.col("id"))).alias("_named"), F.collect_set(F.when(named & holds(F.col("name"), t.value), F.col("id"))).alias("_hits"))
+            hit = F.exists(F.split("label_ids", ","), lambda x: F.array_contains("_hits", x) | (~F.array_contains("_named", x) & holds(x, t.value)))  # noqa: B023
+            rows = rows.crossJoin(F.broadcast(found)).filter((F.col("label_ids") != "") & hit).drop("_named", "_hits")
     return rows

@@ -1,8 +1,13 @@
-"""Full-text search: postings, boolean matching by joins, BM25 ranking, snippets of the hits."""
+"""Full-text search: postings, boolean matching by joins, BM25 ranking, snippets of the hits.
+
+A stored index is sorted by term, so a search reads the row groups of its terms alone, and keeps each
+row's length and their sum, so nothing but hits is joined.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -16,6 +21,40 @@ from ..functions.terms import postings
 K1, B = 1.2, 0.75
 
 
+@dataclass
+class Index:
+    """Postings (id, col, pos, term), lengths (id, dl) if they are kept, and the numbers of rows and of postings."""
+
+    postings: DataFrame
+    lengths: DataFrame | None
+    rows: int
+    total: int
+
+    def lengths_of(self, ids: DataFrame) -> DataFrame:
+        """The number of terms of each id."""
+        if self.lengths is not None:
+            return self.lengths
+        return self.postings.join(ids, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+
+
+def build(rows: DataFrame, folder: str) -> Index:
+    """Writes the index of rows below a folder."""
+    told = postings(rows)
+    # By id too: a term may be in any share of the rows.
+    told.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col", "pos").write.parquet(f"{folder}/postings")
+    held = rows.sparkSession.read.parquet(f"{folder}/postings")
+    held.groupBy("id").agg(F.count(F.lit(1)).alias("dl")).write.parquet(f"{folder}/lengths")
+    return Index(held, rows.sparkSession.read.parquet(f"{folder}/lengths"), rows.count(), held.count())
+
+
+def index_of(rows: DataFrame, held: DataFrame | Index | None) -> Index:
+    """An index as it is, of kept postings, or made on the way."""
+    if isinstance(held, Index):
+        return held
+    found = held if held is not None else postings(rows)
+    return Index(found, None, rows.count(), found.count())
+
+
 def phrase_hits(index: DataFrame, p: Phrase) -> DataFrame:
     """(id, col, pos): where a phrase begins. Each term is a filter on ``term`` that reaches the
     scan; terms of a phrase are joined on their places."""
@@ -57,26 +96,25 @@ def matches(index: DataFrame, node: object) -> tuple[DataFrame, list[DataFrame]]
     return a.join(b, "id", "left_semi"), x + y
 
 
-def ranked(index: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+def ranked(index: Index, text: str) -> DataFrame:
     """(id, rank): matching rows with their BM25 rank; the more negative, the better. Every phrase
     of the query counts, a repeated one again, by its hits in its columns; a row's length is that
     of all its columns."""
-    ids, phrases = matches(index, understood(text))
-    sizes = index.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(index.agg(F.count(F.lit(1)).alias("total")))  # two single rows
+    ids, phrases = matches(index.postings, understood(text))
     parts = []
     for hits in phrases:
         tf = hits.groupBy("id").agg(F.count(F.lit(1)).alias("tf"))
         parts.append(tf.crossJoin(F.broadcast(tf.agg(F.count(F.lit(1)).alias("df")))))  # one row on the right
-    each = reduce(DataFrame.unionByName, parts).join(ids, "id", "left_semi").join(sizes, "id").crossJoin(F.broadcast(whole))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n")))
+    each = reduce(DataFrame.unionByName, parts).join(ids, "id", "left_semi").join(index.lengths_of(ids), "id")
+    idf = F.greatest(F.log((F.lit(index.rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / (index.total / max(1, index.rows)))
     return each.groupBy("id").agg((-F.sum(idf * F.col("tf") * (K1 + 1) / norm)).alias("rank"))
 
 
-def search(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+def search(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | Index | None = None) -> DataFrame:
     """The best rows for a query, ties by id. 0 means the default limit, a negative one none."""
-    found = ranked(index if index is not None else postings(rows), rows, text)
+    understood(text)
+    found = ranked(index_of(rows, index), text)
     return found if limit < 0 else found.orderBy("rank", "id").limit(limit or 20)
 
 
@@ -84,7 +122,7 @@ def search(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | None
 SHOWN = {"subject": 15, "body_text": 25}
 
 
-def results(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+def results(rows: DataFrame, text: str, limit: int = 20, index: DataFrame | Index | None = None) -> DataFrame:
     """The best rows with what a reader sees: (id, rank, shown_date, shown_subject, subject_snippet,
     body_text_snippet). Only hits are cut into snippets."""
     node = understood(text)

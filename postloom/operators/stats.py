@@ -11,7 +11,10 @@ TOP = 15
 
 
 def summary(messages: DataFrame) -> DataFrame:
-    return messages.agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("thread_id").alias("threads"), F.min("internal_date_ms").alias("first_ms"), F.max("internal_date_ms").alias("last_ms"))
+    """Counts of messages and threads, and the first and the last time of sending and of fetching (UTC)."""
+    fetched = F.col("fetched_at") if "fetched_at" in messages.columns else F.lit(None).cast("timestamp")
+    shown = [F.date_format(f(fetched), "yyyy-MM-dd HH:mm:ss").alias(n) for n, f in (("first_fetched", F.min), ("last_fetched", F.max))]
+    return messages.agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("thread_id").alias("threads"), F.min("internal_date_ms").alias("first_ms"), F.max("internal_date_ms").alias("last_ms"), *shown)
 
 
 def top_labels(messages: DataFrame, labels: DataFrame, n: int = TOP) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def last_of_each(batch: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """The last row of each key in order of arrival."""
-    order = Window.partitionBy(key).orderBy(F.desc(seq))
+    """The last row of each key in order of arrival; of rows from files that came at once, the one
+    of the last path."""
+    order = Window.partitionBy(key).orderBy(F.desc(seq), *([F.desc("path")] if "path" in batch.columns else []))
     return batch.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..functions.terms import postings
 from ..operators import export, filters, search, stats, tables, verify
 from ..operators.filters import Mail
 from ..sources import mail as sources
+from . import generated
 from .views import duck, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,7 @@ FILTERS = {
     "from": ("from:customer.00000001", who("from", "customer.00000001")),
     "to": ("to:supplier#00000000", who("to", "supplier#00000000")),
     "cc": ("cc:supplier.00000000", who("cc", "supplier.00000000")),
+    "bcc": ("bcc:supplier.00000000", who("bcc", "supplier.00000000")),
     "after": ("after:1997/06/30", "internal_date_ms >= 867628800000 AND internal_date_ms <> 0"),
     "before": ("before:1996/2/1", "internal_date_ms < 823132800000 AND internal_date_ms <> 0"),
     "has": ("has:attachment", HAS),
@@ -78,7 +81,7 @@ def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Statistics ------------------------------------------------------------------------------------
 
-SUMMARY = "count(*) AS messages, count(DISTINCT thread_id) AS threads, min(internal_date_ms) AS first_ms, max(internal_date_ms) AS last_ms"
+SUMMARY = "count(*) AS messages, count(DISTINCT thread_id) AS threads, min(internal_date_ms) AS first_ms, max(internal_date_ms) AS last_ms, strftime(min(fetched_at), '%Y-%m-%d %H:%M:%S') AS first_fetched, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') AS last_fetched"
 
 
 @query("stats_summary", f"{duck('m_messages')} SELECT {SUMMARY} FROM m_messages")
@@ -210,16 +213,26 @@ def html_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.sha2(normalise.html(F.col("html")), 256).alias("html"))
 
 
+def by_name(rows: DataFrame, key: str, name: str, f: Callable[[str], str], kind: str) -> DataFrame:
+    """(key, name): f of a column, as the mbox reader calls it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(key), pa.array(list(map(f, batch.column("path").to_pylist())))], [key, name])
+
+    return rows.mapInArrow(run, f"{key} long, {name} {kind}")
+
+
 @query("folder_path_clean", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat('Mail/', replace(url, 'e', '.sbd/')), '^(Mail|ImapMail)/', ''), '(?i)\\.sbd/', '/', 'g'), '/+', '/', 'g'), '^/|/$', '', 'g') AS path FROM pages")
 def folder_path_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("Mail/"), F.replace("url", F.lit("e"), F.lit(".sbd/")))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", normalise.folder_path(path).alias("path"))
+    return by_name(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), path.alias("path")), "page_id", "path", sources.folder_of, "string")
 
 
 @query("store_file_predicate", "SELECT p_partkey, (p_partkey % 7 <> 0 AND p_partkey % 5 <> 0) AS store FROM part")
 def store_file_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(F.col("p_partkey") % 7 == 0, ".").otherwise("x"), F.lit("Inbox"), F.when(F.col("p_partkey") % 5 == 0, ".MSF").otherwise(""))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", normalise.is_store(name).alias("store"))
+    return by_name(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long"), name.alias("path")), "p_partkey", "store", sources.is_store, "boolean")
 
 
 # Full text -------------------------------------------------------------------------------------
@@ -254,19 +267,40 @@ SEARCHES = {
     "prefix": ("lic*", ["SELECT id FROM (SELECT DISTINCT id, col, pos FROM t WHERE starts_with(term, 'lic'))"], "true"),
     "phrase": ('"apache license"', ["SELECT a.id FROM t a JOIN t b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'apache' AND b.term = 'license'"], "true"),
     "column": ("subject:the", [hit("the", "AND col = 'subject'")], "true"),
+    "columns": ("{subject}: (license OR the)", [hit("license", "AND col = 'subject'"), hit("the", "AND col = 'subject'")], "true"),
+    "group": ("(apache OR pour) AND version", [hit("apache"), hit("pour"), hit("version")], f"({inside(0)} OR {inside(1)}) AND {inside(2)}"),
 }
 
 
-def search_query(text: str) -> Query:
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of the documents, built at a session's first search."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build(view(spark, sf_dir, "m_docs"), generated.folder(spark, "index"))
+    return _INDEXES[key]
+
+
+def search_query(text: str, limit: int = -1, ranks: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = view(spark, sf_dir, "m_docs")
-        return search.search(docs, text, -1).select("id", (F.round("rank", 4) + 0.0).alias("rank"))
+        found = search.search(view(spark, sf_dir, "m_docs"), text, limit, indexed(spark, sf_dir))
+        return found.select("id", (F.round("rank", 4) + 0.0).alias("rank")) if ranks else found.select("id")
 
     return run
 
 
 for _name, (_text, _hits, _on) in SEARCHES.items():
     query(f"search_{_name}", rank_sql(_hits, _on))(search_query(_text))
+query("search_limited", f"SELECT id, rank FROM ({rank_sql([hit('license')], 'true')}) ORDER BY rank, id LIMIT 7")(search_query("license", 7))
+query("search_near", f"{duck('m_docs')}{TERMS} SELECT DISTINCT a.id FROM t a JOIN t b ON a.id = b.id AND a.col = b.col WHERE a.term = 'apache' AND b.term = 'version' AND abs(a.pos - b.pos) - 1 <= 3")(search_query("NEAR(apache version, 3)", ranks=False))
+query("search_first", f"{duck('m_docs')}{TERMS} SELECT DISTINCT id FROM t WHERE term = 'the' AND pos = 0")(search_query("^the", ranks=False))
+
+
+@query("fts_index_totals", f"{duck('m_docs')}{TERMS} SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT term) FROM t) AS terms, (SELECT count(DISTINCT id) FROM t) AS ids")
+def fts_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).postings.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("ids"))
 
 
 @query("fts_postings_stats", f"{duck('m_docs')}{TERMS} SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM t GROUP BY term")
@@ -277,7 +311,7 @@ def fts_postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("snippet_topk")
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.results(view(spark, sf_dir, "m_docs"), "license OR apache", 20).drop("rank")
+    return search.results(view(spark, sf_dir, "m_docs"), "license OR apache", 20, indexed(spark, sf_dir)).drop("rank")
 
 
 # Files -----------------------------------------------------------------------------------------

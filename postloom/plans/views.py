@@ -16,14 +16,14 @@ SELECT {ID.format(k="o.o_orderkey")} AS id, CASE WHEN o.o_orderkey % 3 = 0 THEN
        concat(c.c_name, ' <', {PERSON}, '>') AS sender, concat(o.o_orderpriority, ' order ', CAST(o.o_orderkey AS STRING)) AS subject,
        CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN o.o_orderkey % 89 = 0 THEN 0 ELSE $ms(o.o_orderdate) END AS internal_date_ms,
        CASE WHEN o.o_orderkey % 50 = 0 THEN '' WHEN o.o_orderkey % 51 = 0 THEN NULL ELSE concat(o.o_orderstatus, ',', o.o_orderpriority) END AS label_ids,
-       concat('Segment ', c.c_mktsegment, ' nation ', CAST(c.c_nationkey AS STRING)) AS body_text
+       concat('Segment ', c.c_mktsegment, ' nation ', CAST(c.c_nationkey AS STRING)) AS body_text, CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY AS fetched_at
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
     "m_labels": "SELECT * FROM (VALUES ('O', 'Inbox/Open'), ('F', 'Archive/Finished'), ('1-URGENT', 'Flags/Urgent')) AS t(id, name)",
     "m_addresses": f"""
 SELECT {ID.format(k="o.o_orderkey")} AS message_id, 'from' AS role, {PERSON} AS address, c.c_name AS name
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 UNION ALL
-SELECT DISTINCT {ID.format(k="l.l_orderkey")} AS message_id, CASE WHEN l.l_linenumber % 3 = 0 THEN 'cc' ELSE 'to' END AS role,
+SELECT DISTINCT {ID.format(k="l.l_orderkey")} AS message_id, CASE WHEN l.l_linenumber = 7 THEN 'bcc' WHEN l.l_linenumber % 3 = 0 THEN 'cc' ELSE 'to' END AS role,
        concat(lower(replace(s.s_name, '#', '.')), '@supplier.example') AS address, CASE WHEN s.s_suppkey % 5 = 0 THEN NULL ELSE s.s_name END AS name
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN orders o ON o.o_orderkey = l.l_orderkey""",
     "m_attachments": f"""

@@ -43,8 +43,9 @@ def folder_of(path: str) -> str:
         if flat.startswith(prefix):
             flat = flat[len(prefix) :]
             break
-    parts = [p for p in flat.split("/") if p]
-    return "/".join([p[:-4] if p.lower().endswith(".sbd") and i < len(parts) - 1 else p for i, p in enumerate(parts)])
+    *above, last = flat.split("/")
+    parts = [p[:-4] if p.lower().endswith(".sbd") else p for p in above]
+    return "/".join(p for p in [*parts, last] if p)
 
 
 def label_of(folder: str) -> str:
@@ -180,7 +181,7 @@ def mbox(spark: SparkSession, uri: str, **options: str) -> DataFrame:
 
 
 def eml_tree(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """The messages of a tree of EML files. ``seq`` follows the order of the paths."""
+    """The messages of a tree of EML files, with their ``path``, by which rows with one id are ordered."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path)
 
     kind = arrow_schema(SCHEMA + ", path string")
@@ -190,8 +191,7 @@ def eml_tree(spark: SparkSession, path: str, content: bool = False) -> DataFrame
             rows = [mail.row(email.message_from_bytes(raw, policy=policy.compat32), "", 0, prefix="eml:", content=content) | {"seq": 0, "path": p} for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    told = files.select("path", "content").mapInArrow(run, SCHEMA + ", path string")
-    return told.withColumn("seq", F.xxhash64("path")).orderBy("path")
+    return files.select("path", "content").mapInArrow(run, SCHEMA + ", path string")
 
 
 def rows_back(files: DataFrame, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
@@ -214,7 +214,7 @@ def rows_back(files: DataFrame, prefix: str = compose.PREFIX, content: bool = Fa
 def exported_tree(spark: SparkSession, path: str, prefix: str = compose.PREFIX, content: bool = False) -> DataFrame:
     """The messages of a tree that ``export.write_tree`` wrote."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.eml").load(path)
-    return rows_back(files.select("path", F.col("content").alias("raw")), prefix, content).withColumn("seq", F.xxhash64("path"))
+    return rows_back(files.select("path", F.col("content").alias("raw")), prefix, content)
 
 
 def label_ids_of(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -184,8 +184,8 @@ class Heap:
         page = CODEPAGES.get(number, f"cp{number}")
         return {p: self.value(struct.unpack_from("<H", c)[0], c[2:], page) for p, c in cells.items()} | {CHARSET: page}
 
-    def rows(self) -> list[dict[int, object]]:
-        """A table's rows. A row never runs over two blocks; cells are read whatever the row's
+    def rows(self, page: str = "cp1252") -> list[dict[int, object]]:
+        """A table's rows, narrow text in the code page given. A row never runs over two blocks; cells are read whatever the row's
         bitmap says, as many writers leave it unset."""
         raw = self.item(self.root)
         count, width, where = raw[1], struct.unpack_from("<H", raw, 8)[0], struct.unpack_from("<I", raw, 14)[0]
@@ -194,7 +194,7 @@ class Heap:
         for block in self.content(where):
             for at in range(0, len(block) - width + 1, width):
                 row = block[at : at + width]
-                out.append({p: self.value(kind, row[o : o + size].ljust(4, b"\0"), "cp1252") for kind, p, o, size in columns})
+                out.append({p: self.value(kind, row[o : o + size].ljust(4, b"\0"), page) for kind, p, o, size in columns})
         return out
 
 
@@ -231,7 +231,7 @@ def rows_of(pst: Pst, node: Node, label: str, content: bool, recursive: bool) ->
     page = str(held[CHARSET])
 
     def tables(kind: int) -> list[tuple[dict[int, object]]]:
-        return [r for nid, n in heap.children.items() if nid & 0x1F == kind and n.data for r in Heap(pst, n).rows()]
+        return [r for nid, n in heap.children.items() if nid & 0x1F == kind and n.data for r in Heap(pst, n).rows(page)]
 
     raw = held.get(HEADERS) or ""
     head = email.message_from_string(str(raw)) if raw else email.message.Message()
@@ -243,7 +243,7 @@ def rows_of(pst: Pst, node: Node, label: str, content: bool, recursive: bool) ->
 
     people = mail.addresses(head)
     if not people:
-        told = [("from", held.get(SENDER_NAME), held.get(SENDER_SMTP), held.get(SENDER_ADDRESS))]
+        told = [("from", held.get(SENDER_NAME), held.get(SENDER_SMTP), held.get(SENDER_ADDRESS), held.get(SENDER_NAME))]
         told += [(ROLE_OF.get(r.get(RECIPIENT_TYPE)), r.get(NAME), r.get(SMTP), r.get(ADDRESS)) for r in tables(RECIPIENTS)]
         found: dict[tuple[str, str], dict] = {}
         for role, name, *places in told:

@@ -13,7 +13,10 @@ from postloom.functions import query as language
 from postloom.functions.terms import terms
 from postloom.operators import filters, search, tables
 from postloom.operators.filters import FilterError, Token, parse_filter
-from postloom.plans import catalog
+from postloom.plans import (
+    archived,  # noqa: F401  puts its queries into the catalog
+    catalog,
+)
 
 SF = "/root/testdata/sf0.001"
 

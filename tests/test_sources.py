@@ -57,7 +57,7 @@ def test_eml_tree(spark, tmp_path):
     for i in range(3):
         (tmp_path / "2025" / "01").mkdir(parents=True, exist_ok=True)
         (tmp_path / "2025" / "01" / f"{i}.eml").write_bytes(message(i).as_bytes())
-    rows = sources.eml_tree(spark, f"file://{tmp_path}").collect()
+    rows = sources.eml_tree(spark, f"file://{tmp_path}").orderBy("path").collect()
     assert [r.id for r in rows] == [f"eml:<{i}@x>" for i in range(3)] and rows[0].addresses[0].address == "j0@x.y"
 
 
