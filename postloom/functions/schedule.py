@@ -1,9 +1,10 @@
-"""Recurring runs as crontab lines. Cron counts minutes, hours and days apart, so an interval must
-divide the next larger unit."""
+"""Recurring runs as crontab lines, or as tasks of Windows. Cron counts minutes, hours and days apart,
+so an interval must divide the next larger unit."""
 
 from __future__ import annotations
 
 import shlex
+import subprocess
 
 #: Minutes of an hour and of a day, and what may recur.
 HOUR, DAY = 60, 1440
@@ -28,10 +29,14 @@ def marker(name: str) -> str:
     return f"# postloom-job:{name}"
 
 
-def cron_line(name: str, minutes: int, python: str, folder: str, log: str, command: list[str]) -> str:
+def allowed(command: list[str]) -> list[str]:
     if not command or command[0] not in RECURRING:
         raise ScheduleError(f"only {', '.join(RECURRING)} can recur")
-    run = shlex.join([python, "-m", "postloom.cli", *command])
+    return command
+
+
+def cron_line(name: str, minutes: int, python: str, folder: str, log: str, command: list[str]) -> str:
+    run = shlex.join([python, "-m", "postloom.cli", *allowed(command)])
     return f"{cron_fields(minutes)} cd {shlex.quote(folder)} && {run} >> {shlex.quote(log)} 2>&1 {marker(name)}"
 
 
@@ -43,3 +48,21 @@ def without(lines: list[str], name: str) -> list[str]:
 def jobs(lines: list[str]) -> list[str]:
     head = marker("")
     return [x.rpartition(head)[2].strip() for x in lines if head in x]
+
+
+TASKS = "\\postloom\\"
+
+
+def windows_task(name: str, minutes: int, python: str, command: list[str]) -> list[str]:
+    """The words that make a task of Windows which recurs; a task of that name is replaced."""
+    if minutes <= 0:
+        raise ScheduleError(f"{minutes} minutes can't recur")
+    every = ["MINUTE", str(minutes)] if minutes < DAY else ["DAILY", str(minutes // DAY)]
+    if minutes > DAY and minutes % DAY:
+        raise ScheduleError(f"{minutes} minutes aren't whole days")
+    run = subprocess.list2cmdline([python, "-m", "postloom.cli", *allowed(command)])
+    return ["schtasks", "/Create", "/F", "/TN", TASKS + name, "/SC", every[0], "/MO", every[1], "/TR", run]
+
+
+def windows_without(name: str) -> list[str]:
+    return ["schtasks", "/Delete", "/F", "/TN", TASKS + name]

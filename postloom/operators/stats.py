@@ -24,6 +24,13 @@ def top_labels(messages: DataFrame, labels: DataFrame, n: int = TOP) -> DataFram
     return top.join(labels.withColumnRenamed("id", "label_id"), "label_id", "left").select("label_id", F.coalesce("name", "label_id").alias("name"), "n")
 
 
+def per_folder(messages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, n) for each label, and their total in a row whose name is null."""
+    each = messages.filter("label_ids <> ''").select(F.explode(F.split("label_ids", ",")).alias("label_id")).groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
+    named = each.join(labels.withColumnRenamed("id", "label_id"), "label_id", "left").select(F.coalesce("name", "label_id").alias("name"), "n")
+    return named.rollup("name").agg(F.sum("n").alias("n"))
+
+
 def top_addresses(addresses: DataFrame, role: str, n: int = TOP) -> DataFrame:
     counts = addresses.filter(F.col("role") == role).groupBy("address").agg(F.max("name").alias("name"), F.count(F.lit(1)).alias("n"))
     shown = F.when(F.coalesce("name", F.lit("")) != "", F.format_string("%s <%s>", "name", "address")).otherwise(F.col("address"))

@@ -32,6 +32,16 @@ def replace_rows(current: DataFrame, new: DataFrame, keys: DataFrame, key: str)
     return current.join(keys.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def insert_or_ignore(current: DataFrame, parts: list[DataFrame], key: str = "id") -> DataFrame:
+    """current with the rows of the parts whose key it lacks; of a key that several parts have, the
+    row of the first part (and of its least row, if it has the key twice) is taken."""
+    tagged = [p.select(*current.columns).withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    both = reduce(DataFrame.unionByName, tagged)
+    rest = [c for c in current.columns if c != key]
+    first = both.groupBy(key).agg(F.min(F.struct("_part", *rest)).alias("_first")).select(key, *[F.col("_first")[c].alias(c) for c in rest])
+    return current.unionByName(first.join(current.select(key), key, "left_anti"))
+
+
 def resume(candidates: DataFrame, ledger: DataFrame, n: int, key: str = "id") -> DataFrame:
     """The next n candidates in key order that the ledger doesn't have."""
     return candidates.join(ledger.select(key), key, "left_anti").orderBy(key).limit(n)

@@ -107,3 +107,42 @@ def attachment_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     lone = F.col("_l").isNull() | F.col("_r").isNull()
     field = F.when(lone, "<row>").when(~F.col("_l.content_sha256").eqNullSafe(F.col("_r.content_sha256")), "content").when(~F.col("_l.size").eqNullSafe(F.col("_r.size")), "size")
     return both.select(*key, "n", field.alias("field")).filter("field IS NOT NULL")
+
+
+TRIED = ("sender", "recipient", "cc", "bcc", "body_text", "body_mime_type", "body_html", "internal_date_ms")
+
+
+def mailbox_differences(sent: DataFrame, back: DataFrame, run_prefix: str) -> DataFrame:
+    """(id, back_id, field, left_value, right_value) between messages (with ``label_names``) that were
+    put into a mailbox and what was read back. Their ids differ, so they are paired by subject and
+    time; a message without a pair has the field ``<row>``. The label of the run, told by its prefix,
+    has to be the only one more."""
+    on = ["subject", "internal_date_ms"]
+    pairs = tables.pair_unique(sent, back, on)
+    lone = [
+        sent.join(pairs, sent.id == pairs.left_id, "left_anti").select("id", F.lit(None).cast("string").alias("back_id"), F.lit("<row>").alias("field"), F.lit("present").alias("left_value"), F.lit(None).cast("string").alias("right_value")),
+        back.join(pairs, back.id == pairs.right_id, "left_anti").select(F.lit(None).cast("string").alias("id"), F.col("id").alias("back_id"), F.lit("<row>").alias("field"), F.lit(None).cast("string").alias("left_value"), F.lit("present").alias("right_value")),
+    ]
+    named = back.join(pairs, back.id == pairs.right_id).drop("id").withColumnRenamed("left_id", "id")
+    held = [c for c in TRIED if c in sent.columns and c in back.columns]
+    told = tables.differences(normal(sent.join(pairs, sent.id == pairs.left_id, "left_semi").select("id", *held)), normal(named.select("id", *held)))
+    more = label_differences(sent, named.select("id", "label_names"))
+    run = (F.size("missing") == 0) & (F.size("extra") == 1) & F.startswith(F.element_at("extra", 1), F.lit(run_prefix))
+    without = sent.select("id", "label_names").join(named.select("id", F.col("label_names").alias("_b")), "id").filter(F.array_sort("label_names") == F.array_sort("_b")).select("id", F.lit("").alias("left_value"), F.lit("").alias("right_value"))
+    wrong = more.filter(~run).select("id", F.array_join("missing", ",").alias("left_value"), F.array_join("extra", ",").alias("right_value")).unionByName(without)
+    told = told.unionByName(wrong.select("id", F.lit("labels").alias("field"), "left_value", "right_value"))
+    known = told.join(pairs.select(F.col("left_id").alias("id"), F.col("right_id").alias("back_id")), "id").select("id", "back_id", "field", "left_value", "right_value")
+    return known.unionByName(lone[0]).unionByName(lone[1])
+
+
+def tree_differences(left: DataFrame, right: DataFrame, run_prefix: str = "") -> DataFrame:
+    """(id, field, left_value, right_value) between two trees of exported messages
+    (``sources.mail.exported_tree`` with contents): headers, bodies, labels without those of a run, and
+    attachments, inline ones included, by name, type and content."""
+
+    def told(rows: DataFrame) -> DataFrame:
+        files = F.array_join(F.array_sort(F.transform("attachments", lambda a: F.concat_ws("|", a["filename"], a["content_id"], a["mime_type"], F.sha2(a["content"], 256)))), ";")
+        names = F.array_sort(F.filter("label_names", lambda n: ~F.startswith(n, F.lit(run_prefix)))) if run_prefix else F.array_sort("label_names")
+        return normal(rows.select("id", "subject", "date", *HEADERS, "body_text", "body_html")).join(rows.select("id", files.alias("files"), F.array_join(names, ",").alias("labels")), "id")
+
+    return tables.differences(told(left), told(right))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalise
-from ..operators import export, storing, verify
+from ..operators import export, stats, storing, tables, verify
 from ..operators.filters import Mail, label_rows
 from ..operators.store import Archive
 from ..sources import api, pst
@@ -41,6 +41,13 @@ def mbox_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "folder", "subject", "date", "internal_date_ms", first_of("from", "name").alias("from_name"), first_of("from", "address").alias("from_address"), F.size("addresses").alias("people"), F.sha2(normalise.body(F.col("body_text")), 256).alias("body"), F.size("attachments").alias("files"), bytes_of("attachments").alias("bytes"))
 
 
+@query("mbox_folder_counts", f"SELECT concat('Local Folders/', source, '/', doc_id % {generated.STORES}) AS name, count(*) AS n FROM documents GROUP BY ROLLUP (1)")
+def mbox_folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = generated.folder(spark, "profile")
+    generated.write_profile(spark.read.parquet(f"{sf_dir}/documents.parquet"), uri)
+    return stats.per_folder(sources.mbox(spark, uri), spark.createDataFrame(sources.folder_labels(uri), "id string, name string"))
+
+
 API_SQL = "lower(concat(replace(c_name, '#', '.'), '@', c_mktsegment, '.example')) AS from_address"
 
 
@@ -147,16 +154,33 @@ def archive_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPLIERS = f"SELECT concat('outlook:a/b', repeat('x', CAST(s_suppkey % 3 * 60 AS INT)), CAST(s_suppkey AS STRING)) AS id, concat('Subject é ', s_name) AS subject, CASE WHEN s_suppkey % 5 > 0 THEN ({START} + s_suppkey * 86400) * 1000 END AS internal_date_ms, concat(s_name, ' <s', CAST(s_suppkey AS STRING), '@x.example>') AS sender, concat('Body ÿ of ', s_name) AS body_text, 'text/plain' AS body_mime_type, 'A' AS label_ids FROM supplier"
 
 
-@query("export_tree", f"WITH m AS ({SUPPLIERS}) SELECT id, concat(CASE WHEN internal_date_ms IS NULL THEN 'unknown' ELSE strftime(make_timestamp(internal_date_ms * 1000), '%Y/%m') END, '/', CASE WHEN len(id) > 120 THEN sha256(id) ELSE regexp_replace(id, '[/:]', '_', 'g') END, '.eml') AS path, subject, body_text, 'Work' AS labels FROM m")
-def export_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(SUPPLIERS.replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+def supplier_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SUPPLIERS.replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+
+
+def tree_of(rows: DataFrame) -> DataFrame:
+    """Messages written as a tree of EML files and read back."""
+    spark = rows.sparkSession
     files = spark.createDataFrame([], "message_id string, filename string, mime_type string, size long, content_sha256 string")
     uri = generated.folder(spark, "tree")
     generated.each(export.write_tree(export.candidates(Mail(rows, spark.createDataFrame([("A", "Work")], "id string, name string"), files, files)), uri), lambda _: None)
-    back = sources.exported_tree(spark, uri)
+    return sources.exported_tree(spark, uri, content=True)
+
+
+@query("export_tree", f"WITH m AS ({SUPPLIERS}) SELECT id, concat(CASE WHEN internal_date_ms IS NULL THEN 'unknown' ELSE strftime(make_timestamp(internal_date_ms * 1000), '%Y/%m') END, '/', CASE WHEN len(id) > 120 THEN sha256(id) ELSE regexp_replace(id, '[/:]', '_', 'g') END, '.eml') AS path, subject, body_text, 'Work' AS labels FROM m")
+def export_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tree_of(supplier_messages(spark, sf_dir))
     return back.select("id", F.element_at(F.split("path", "/tree-[0-9a-f]+/"), -1).alias("path"), "subject", normalise.body(F.col("body_text")).alias("body_text"), F.array_join("label_names", ",").alias("labels"))
 
 
+@query("tree_differences", f"WITH m AS (SELECT *, split_part(subject, '#', 2)::BIGINT AS k FROM ({SUPPLIERS})) SELECT id, '<row>' AS field FROM m WHERE k % 7 = 0 UNION ALL SELECT id, 'subject' FROM m WHERE k % 7 > 0 AND k % 3 = 0 UNION ALL SELECT id, 'body_text' FROM m WHERE k % 7 > 0 AND k % 4 = 0")
+def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_messages(spark, sf_dir)
+    key = F.split_part("subject", F.lit("#"), F.lit(2)).cast("long")
+    other = rows.filter(key % 7 > 0).withColumns({"subject": F.when(key % 3 == 0, F.concat("subject", F.lit("!"))).otherwise(F.col("subject")), "body_text": F.when(key % 4 == 0, "other").otherwise(F.col("body_text"))})
+    return verify.tree_differences(tree_of(rows), tree_of(other)).select("id", "field")
+
+
 @query("store_run", "SELECT concat('gmail:', n_nationkey) AS id, true AS stored, (n_nationkey % 2 = 0)::INT AS dropped FROM nation")
 def store_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation's messages put into a mailbox that takes no large ones, in two runs."""
@@ -189,6 +213,28 @@ def label_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.label_differences(left, right).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
+@query("mailbox_differences", f"{duck('m_messages')}, p AS (SELECT id, concat('back:', id) AS back_id, right(id, 1) AS k FROM m_messages WHERE right(id, 2) <> '66') SELECT id, NULL::VARCHAR AS back_id, '<row>' AS field FROM m_messages WHERE right(id, 2) = '66' UNION ALL SELECT id, back_id, 'body_text' FROM p WHERE k = '4' UNION ALL SELECT id, back_id, 'labels' FROM p WHERE k = '5'")
+def mailbox_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages against what came back: some lost, some with another body, some without the run's label."""
+    rows = view(spark, sf_dir, "m_messages")
+    names = label_rows(rows, view(spark, sf_dir, "m_labels")).groupBy("id").agg(F.collect_list("name").alias("label_names"))
+    sent = rows.join(names, "id", "left").withColumn("label_names", F.coalesce("label_names", F.array().cast("array<string>")))
+    last = F.substring("id", -1, 1)
+    back = (
+        sent.filter("substring(id, -2) <> '66'").withColumn("body_text", F.when(last == "4", "other").otherwise(F.col("body_text")))
+        .withColumn("label_names", F.when(last == "5", F.col("label_names")).otherwise(F.concat("label_names", F.array(F.lit("run-7"))))).withColumn("id", F.concat(F.lit("back:"), "id"))
+    )
+    return verify.mailbox_differences(sent, back, "run-").select("id", "back_id", "field")
+
+
+@query("merge_ignore", f"{duck('m_messages')} SELECT id, subject FROM m_messages WHERE right(id, 1) NOT IN ('1', '2') UNION ALL SELECT id, concat('p0 ', subject) FROM m_messages WHERE right(id, 1) IN ('1', '2') UNION ALL SELECT concat(id, '-n'), concat('p1 ', subject) FROM m_messages WHERE right(id, 1) = '5'")
+def merge_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "m_messages").select("id", "subject")
+    last = F.substring("id", -1, 1)
+    parts = [rows.filter(last.isin("1", "2", "3")).withColumn("subject", F.concat(F.lit("p0 "), "subject")), rows.filter(last.isin("2", "5")).select(F.when(last == "5", F.concat("id", F.lit("-n"))).otherwise(F.col("id")).alias("id"), F.concat(F.lit("p1 "), "subject").alias("subject"))]
+    return tables.insert_or_ignore(rows.filter(~last.isin("1", "2")), parts)
+
+
 @query("row_differences", f"{duck('m_addresses')} SELECT message_id, address, 'left' AS side FROM m_addresses WHERE role = 'cc' UNION ALL SELECT message_id, 'x', 'right' FROM m_addresses WHERE role = 'from'")
 def row_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "m_addresses").select("message_id", "address", "role")

@@ -42,13 +42,19 @@ class HistoryExpired(RuntimeError):
 
 class MailApi(Protocol):
     def profile(self) -> dict: ...
-    def ids(self, query: str | None, page: str | None) -> tuple[list[str], str | None]: ...
-    def added(self, since: int, page: str | None) -> tuple[list[str], str | None]: ...
+    def ids(self, query: str | None, page: str | None) -> tuple[list[str], str | None]:
+        """Without what is in spam or trash."""
+
+    def added(self, since: int, upto: int, page: str | None) -> tuple[list[str], str | None]: ...
     def message(self, key: str) -> dict: ...
     def attachment(self, key: str, attachment: str) -> bytes: ...
     def labels(self) -> list[dict]: ...
     def create_label(self, name: str) -> str: ...
-    def put(self, raw: bytes, label_ids: list[str]) -> str: ...
+    def delete_label(self, key: str) -> None: ...
+    def trash(self, key: str) -> None: ...
+
+    def put(self, raw: bytes, label_ids: list[str]) -> str:
+        """Takes a message in as it is: its time is that of its Date header, and it is never spam."""
 
 
 def client(factory: str, argument: str) -> MailApi:
@@ -155,7 +161,9 @@ class Fetching:
     def cut(self, keys: list[str], first: int = 0) -> list[Keys]:
         return [Keys(keys[i : i + self.chunk], first + i) for i in range(0, len(keys), self.chunk)]
 
-    def read(self, part: Keys) -> Iterator[tuple]:
+    def read(self, part: Keys | None) -> Iterator[tuple]:
+        if part is None:  # an empty listing
+            return
         api = self.api()
         for i, key in enumerate(part.keys):
             raw = patiently(api.message, key)
@@ -175,8 +183,9 @@ class BatchReader(Fetching, DataSourceReader):
 
 
 class ChangeReader(Fetching, DataSourceStreamReader):
-    """Messages added since ``startHistory``. The end of a batch is fixed before it is listed, so
-    what arrives meanwhile comes once more in the next one: at least once, for an upsert by id."""
+    """Messages added since ``startHistory``. The end of a batch is fixed before it is listed, and what
+    arrives meanwhile comes in the next one. A batch that is tried again comes again: at least once,
+    for an upsert by id."""
 
     def initialOffset(self) -> dict:
         return {"history_id": self.start}
@@ -188,7 +197,7 @@ class ChangeReader(Fetching, DataSourceStreamReader):
         if start == end:
             return []
         api = self.api()
-        return self.cut(list(pages(lambda page: api.added(start["history_id"], page))), start["history_id"] << 20)
+        return self.cut(list(pages(lambda page: api.added(start["history_id"], end["history_id"], page))), start["history_id"] << 20)
 
 
 class ApiSource(DataSource):
@@ -248,16 +257,29 @@ class Recorded:
 
     def ids(self, query: str | None, page: str | None) -> tuple[list[str], str | None]:
         names = sorted(f.base_name.removesuffix(".json") for f in self.store.get_file_info(fs.FileSelector(f"{self.root}/messages")))
+        hidden = set(self._get("hidden.json", []))
+        names = [n for n in names if n not in hidden]
         if query:
-            names = [n for n in names if query.lower() in json.dumps(self.message(n)).lower()]
+            names = [n for n in names if self.answers(n, query)]
         at = int(page or 0)
         return names[at : at + CHUNK], str(at + CHUNK) if at + CHUNK < len(names) else None
 
-    def added(self, since: int, page: str | None) -> tuple[list[str], str | None]:
+    def answers(self, key: str, query: str) -> bool:
+        """``label:`` with a label's id or name, ``subject:``, or any text."""
+        kind, _, value = query.lower().partition(":")
+        held = self.message(key)
+        if kind == "label":
+            ids = {x["id"] for x in self.labels() if value in (x["name"].lower(), x["id"].lower())}
+            return bool(ids & set(held.get("labelIds") or ())) or value in map(str.lower, held.get("labelIds") or ())
+        if kind == "subject":
+            return value in heads(held.get("payload") or {}).get("subject", "").lower()
+        return query.lower() in json.dumps(held).lower()
+
+    def added(self, since: int, upto: int, page: str | None) -> tuple[list[str], str | None]:
         told = self._get("history.json", [])
         if told and since < told[0][0] - 1:
             raise HistoryExpired(f"history {since} is no longer kept")
-        return [m for h, m in told if h > since], None
+        return [m for h, m in told if since < h <= upto], None
 
     def message(self, key: str) -> dict:
         found = self._get(f"messages/{key}.json")
@@ -278,6 +300,13 @@ class Recorded:
         self._set("labels.json", json.dumps([*held, {"id": key, "name": name}]).encode())
         return key
 
+    def delete_label(self, key: str) -> None:
+        self._set("labels.json", json.dumps([x for x in self.labels() if x["id"] != key]).encode())
+
+    def trash(self, key: str) -> None:
+        """``hidden.json`` lists what is in spam or trash."""
+        self._set("hidden.json", json.dumps(sorted({*self._get("hidden.json", []), key})).encode())
+
     def put(self, raw: bytes, label_ids: list[str]) -> str:
         key = hashlib.sha1(raw).hexdigest()[:16]
         self._set(f"put/{key}.json", json.dumps({"raw": base64.urlsafe_b64encode(raw).decode(), "labelIds": label_ids}).encode())

@@ -136,7 +136,9 @@ class MboxReader(DataSourceReader):
             out += [Store(number, path, member, folder, at, min(size, at + step)) for at in range(0, size, step)]
         return out
 
-    def read(self, part: Store) -> Iterator[tuple]:
+    def read(self, part: Store | None) -> Iterator[tuple]:
+        if part is None:  # no stores
+            return
         store, _ = fs.FileSystem.from_uri(self.uri)
         with store.open_input_file(part.path) as file:
             if part.member:

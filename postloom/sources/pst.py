@@ -312,7 +312,9 @@ class PstReader(DataSourceReader):
             found = [("outlook:" + folder if folder else "", nid) for folder, ids in folders(Pst(f, self.table())) for nid in ids]
         return [Range(i, found[i : i + self.chunk]) for i in range(0, len(found), self.chunk)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range | None) -> Iterator[tuple]:
+        if part is None:  # no messages
+            return
         store, path = fs.FileSystem.from_uri(self.uri)
         with store.open_input_file(path) as f:
             pst = Pst(f, self.table())

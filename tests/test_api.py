@@ -7,6 +7,7 @@ import json
 
 import pytest
 
+from postloom import cli
 from postloom.functions import compose
 from postloom.operators import export, search, storing
 from postloom.operators.filters import Mail
@@ -92,6 +93,34 @@ def test_store(spark, box, tmp_path):
     assert storing.ledger(spark, book).filter("remote_id IS NOT NULL AND dropped > 0").count() == 7
 
 
+def test_source_is_read_once(spark, box, tmp_path):
+    put, uri = box
+    archive = Archive(spark, f"file://{tmp_path}/archive")
+    rows = api.mailbox(spark, "tests.test_api:Counting", uri, withAttachments="true")
+    archive.take(rows)
+    archive.take(rows)
+    assert sorted((tmp_path / "box" / "calls").read_text().split()) == sorted([f"m{i}" for i in range(7)] * 2)
+    assert archive.read("messages").count() == 7 and archive.read("blobs").count() == 1
+
+
+class Counting(api.Recorded):
+    """Notes each message that is fetched."""
+
+    def message(self, key):
+        with open(f"{self.root}/calls", "a") as f:
+            f.write(key + "\n")
+        return super().message(key)
+
+
+def test_clean_up(spark, box, capsys):
+    put, uri = box
+    account = ["--client", CLIENT, "--account", uri]
+    assert cli.main(["clean-up", "INBOX", *account]) == 0 and "7 messages and 1 labels to remove" in capsys.readouterr().out
+    assert cli.main(["clean-up", "INBOX", "--apply", *account]) == 0
+    assert api.Recorded(uri).labels() == [] and api.mailbox(spark, CLIENT, uri).count() == 0
+    assert cli.main(["account", *account]) == 0 and "Labels: 0" in capsys.readouterr().out
+
+
 def test_waiting():
     waits, calls = [], []
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import mailbox
 from email.message import EmailMessage
 
 import pytest
 
 from postloom import cli
-from postloom.functions import schedule
+from postloom.functions import logs, schedule
 from postloom.operators import verify
 from postloom.operators.store import Archive
 from postloom.sources import mail
@@ -50,6 +51,37 @@ def test_commands(spark, tmp_path, capsys):
     assert [r.side for r in verify.row_differences(first.read("addresses"), second.read("addresses").filter("address <> 'a@b.c'")).distinct().collect()].count("left") >= 1
 
 
+def test_compare_migrate_and_log(spark, tmp_path, capsys):
+    schema = "id string, subject string, seq long"
+    for name, subject in (("one", "a"), ("two", "b")):
+        rows = spark.createDataFrame([("x1", subject, 0), ("outlook:2", "c", 0)], schema)
+        Archive(spark, f"file://{tmp_path}/{name}").take(spark.createDataFrame([], mail.SCHEMA).unionByName(rows, allowMissingColumns=True))
+    go = lambda *words: (cli.main(list(words)), capsys.readouterr().out)
+    told = go("--log-file", f"{tmp_path}/logs/a.log", "compare", f"{tmp_path}/two", "--db", f"{tmp_path}/one")[1]
+    assert told == "[WARN ] x1: subject: 'a', 'b'\n1 differences\n"
+    assert (tmp_path / "logs" / "a.log").read_text().splitlines()[1].endswith("[INFO ] 1 differences")
+    assert go("migrate-ids", "--db", f"{tmp_path}/one", "--debug")[1] == "1 ids to migrate\n"
+    assert go("migrate-ids", "--db", f"{tmp_path}/one", "--apply")[1].startswith("1 ids migrated")
+    archive = Archive(spark, f"file://{tmp_path}/one")
+    assert sorted(r.id for r in archive.read("messages").collect()) == ["gmail:x1", "outlook:2"] and not archive.empty() and archive.empty("labels")
+    kept = next((tmp_path / "one" / "_backup").iterdir())
+    assert sorted(r.id for r in Archive(spark, f"file://{kept}").read("messages").collect()) == ["outlook:2", "x1"]
+
+
+def test_log_lines():
+    record = logging.LogRecord("postloom", logging.WARNING, "", 0, "two\nlines", (), None)
+    record.created = 0
+    assert logs.Lines(True).format(record) == "1970-01-01 00:00:00 [WARN ] two\n" + " " * 28 + "lines" and logs.Lines(False).format(record) == "[WARN ] two\n        lines"
+
+
+def test_windows_tasks():
+    words = schedule.windows_task("a", 30, "py.exe", ["import", "p q"])
+    assert words[-6:] == ["/SC", "MINUTE", "/MO", "30", "/TR", 'py.exe -m postloom.cli import "p q"'] and schedule.windows_without("a")[-1] == words[4]
+    for minutes, command in ((0, ["import"]), (1500, ["import"]), (30, ["stats"])):
+        with pytest.raises(schedule.ScheduleError):
+            schedule.windows_task("a", minutes, "py", command)
+
+
 def test_forms(spark):
     rows = spark.createDataFrame([(" a \n b ", '"B, A" <B@x>, c@d', "Wed, 01 Jan 2025 01:00:00 +0100"), (None, None, None), ("", "", "never")], "h string, a string, d string")
     got = rows.select(verify.header("h").alias("h"), verify.address_list("a").alias("a"), verify.date_ms("d").alias("d")).collect()

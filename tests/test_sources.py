@@ -53,6 +53,11 @@ def test_zip_and_profile(spark, store, tmp_path):
     assert sources.folder_of("Mail/Local Folders/Archive.sbd/2026") == "Local Folders/Archive/2026"
 
 
+def test_an_empty_profile(spark, tmp_path):
+    (tmp_path / "Mail").mkdir()
+    assert sources.mbox(spark, f"file://{tmp_path}").collect() == []
+
+
 def test_eml_tree(spark, tmp_path):
     for i in range(3):
         (tmp_path / "2025" / "01").mkdir(parents=True, exist_ok=True)
