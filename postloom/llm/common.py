@@ -60,16 +60,41 @@ def store(df: DataFrame, kind: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders_of(df: DataFrame) -> set[str]:
+    return {f.rpartition("/")[0] for f in df.inputFiles()}
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(conf).delete(at, True)
+        for folder in folders_of(df):
+            delete(df.sparkSession, folder)
+
+
+#: Tables that ``store`` wrote, by application.
+_stored: dict[str, list[str]] = {}
+
+
+def release(docs: DataFrame) -> DataFrame:
+    """Deletes all tables stored so far but those that docs itself reads. For the beginning of a
+    stage whose input was written: what made it isn't read again."""
+    spark = docs.sparkSession
+    held = _stored.pop(spark.sparkContext.applicationId, [])
+    kept = {f.rstrip("/").rpartition("/")[2] for f in folders_of(docs)} if held else set()
+    for path in held:
+        if path.rpartition("/")[2] not in kept:
+            delete(spark, path)
+    _stored[spark.sparkContext.applicationId] = [p for p in held if p.rpartition("/")[2] in kept]
+    return docs
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

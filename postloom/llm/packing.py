@@ -95,11 +95,11 @@ def plan_of(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Plan, int
     return dict(plan), sequences
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
     """The pieces of every document, without their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, False, KEPT)
+        enc = encoder(path, False, kept)
         end = np.array([end_id], enc.dtype).tobytes()
         for rows in rows_of(batches):
             out: list[tuple] = []
@@ -138,8 +138,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(run, StructType([*kinds, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    found = pieces(docs, path or tokenizer_path(VOCABULARY), END_ID, capacity)
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
+    found = pieces(docs, path or tokenizer_path(VOCABULARY), END_ID, capacity, kept)
     return pack(store(found.withColumn("uid", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
