@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from postloom.llm import common, decontamination, encoding, orderminhash, packing, quality, queries, sharding, simhash, substrings, tokencounts, tokenfiles, toxicity
+from postloom.llm import common, decontamination, encoding, orderminhash, packing, quality, queries, resemblance, sharding, simhash, substrings, tokencounts, tokenfiles, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, row string, starts int, score string, _row int, `a b` int, `a.b` int, `a-b` int"
@@ -141,7 +141,9 @@ def test_one_stays_of_planted_copies(spark):
     assert kept == {0, len(texts)} | {2 * i for i in range(len(likes))} | {2 * i + 1 for i, x in enumerate(likes) if x < 0.8}
 
 
-def test_similar_groups_equal_all_pairs(spark):
+@pytest.mark.parametrize("tile", [2, 512])
+def test_similar_groups_equal_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(resemblance, "TILE", tile)
     held = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
     docs = sorted((r.doc_id, r.text or "") for r in held.collect())
     sets = shingle_sets([t for _, t in docs])
@@ -268,31 +270,31 @@ def test_sequences_are_views_of_the_file(spark, docs, tmp_path):
 
 
 def slow_count(scores, pre):
-    best = [(0.0, 0)] + [(-1e18, 0)] * len(pre)
-    for i in range(len(pre)):
-        for j in range(i + 1, len(pre) + 1):
-            s = scores.get(pre[i:j])
-            n = 1
-            if s is None and j == i + 1:
-                n = len(pre[i].encode())
-                s = tokencounts.BYTE * n
-            if s is not None and best[i][0] + s > best[j][0] + 1e-9:
-                best[j] = (best[i][0] + s, best[i][1] + n)
-    return best[-1]
+    """Tokens of the best segmentation by a plain lattice over the characters."""
+    best = [(0.0, 0)] + [None] * len(pre)
+    for j in range(1, len(pre) + 1):
+        for i in range(j):
+            piece = pre[i:j]
+            if piece in scores:
+                got = best[i][0] + scores[piece], best[i][1] + 1
+            elif j == i + 1:
+                n = len(piece.encode())
+                got = best[i][0] + tokencounts.BYTE * n, best[i][1] + n
+            else:
+                continue
+            if best[j] is None or (-got[0], got[1]) < (-best[j][0], best[j][1]):
+                best[j] = got
+    return best[-1][1]
 
 
 def test_token_counts_equal_a_plain_lattice(spark, docs):
     scores = tokencounts.pieces(encoding.tokenizer_path(tokencounts.VOCABULARY))
+    counts = {w: slow_count(scores, "▁" + w) for w in {w for _, t in docs[:60] for w in t.split()} | {"日本語", "naïve", "x" * 40, "\U0001f600a"}}
     trie = tokencounts.Trie(scores)
-    for w in {w for _, t in docs[:40] for w in t.split()}:
-        trie.count("▁" + w)
-        total, _ = slow_count(scores, "▁" + w)
-        node = 0
-        for c in "▁" + w:
-            node = trie.below[node][c]
-        assert abs(trie.best[node] - total) < 1e-6
+    assert {w: trie.count("▁" + w) for w in counts} == counts
     got = {r.doc_id: r for r in queries.op8_token_counts(spark, SF).collect()}
-    assert all(got[i].n_pretokens == len(t.split()) and got[i].n_tokens == sum(trie.count("▁" + w) for w in t.split()) for i, t in docs)
+    assert all(got[i].n_pretokens == len(t.split()) for i, t in docs)
+    assert all(got[i].n_tokens == sum(counts[w] for w in t.split()) for i, t in docs[:60])
 
 
 # Packing ----------------------------------------------------------------------------------------
@@ -516,6 +518,49 @@ def test_toxic_text_is_learned_wherever_it_is():
     assert b"vilestwor" in model.toxic and model.weights[1] > 0.5
 
 
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC", 15)
+    monkeypatch.setattr(toxicity, "ORDINARY", 25)
+    docs = spark.createDataFrame([(7 if i % 2 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7 or i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    rows, _ = toxicity.sample(docs, labels, True)
+    assert sum(y for *_, y in rows) == 15 and len(rows) <= 40
+
+
+def test_both_dictionaries_are_trained(docs):
+    rng = np.random.default_rng(3)
+    rows = [(toxicity.words_of(t) + [b"vilestword", b"meanestword"] * (i % 4 == 0) * int(rng.integers(1, 4)), int(i % 4 == 0)) for i, t in docs]
+    plain, toxic = toxicity.dictionaries(rows)
+    assert toxic.endswith(plain) and b"vilestwor" in toxic and b"vilestwor" not in plain and len(toxic) % 48 == len(plain) % 48
+    pair = toxicity.compressors(plain, toxic)
+    _, most, total, each = toxicity.evidence(rows[0][0], *pair)
+    lengths = [(len(pair[0].compress(w)), len(pair[1].compress(w))) for w in toxicity.windows(rows[0][0])]
+    saved = [a - b for a, b in lengths]
+    assert np.allclose([most, total, each], [np.log1p(max(0, *saved, 0)), np.log1p(sum(x for x in saved if x > 0)), sum(x for x in saved if x > 0) / len(saved)]) and most > 0
+
+
+def test_posteriors_equal_a_plain_estimate(spark, docs):
+    """EM over every document, one at a time."""
+    cast = [quality.vote(t.encode()) for _, t in docs]
+    good = [1 / (1 + np.exp(-sum(v) - 0.5)) for v in cast]
+    for _ in range(200):
+        share = min(max(sum(good) / len(good), 1e-3), 1 - 1e-3)
+        chance = {}
+        for c in (0, 1):
+            for j in range(9):
+                mass = {k: 0.5 + sum(g if c else 1 - g for g, v in zip(good, cast, strict=True) if v[j] == k) for k in (-1, 0, 1)}
+                chance[c, j] = {k: m / sum(mass.values()) for k, m in mass.items()}
+        now = []
+        for v in cast:
+            odds = np.log(share / (1 - share)) + sum(np.log(chance[1, j][k] / chance[0, j][k]) for j, k in enumerate(v))
+            now.append(1 / (1 + np.exp(-min(30, max(-30, odds)))))
+        if max(abs(a - b) for a, b in zip(good, now, strict=True)) < 1e-7:
+            break
+        good = now
+    got = {r.doc_id: r.posterior for r in queries.op4_quality(spark, SF).collect()}
+    assert max(abs(got[i] - g) for (i, _), g in zip(docs, good, strict=True)) < 1e-4
+
+
 def test_estimate_finds_the_labellers():
     rng = np.random.default_rng(2)
     truth = rng.random(20_000) < 0.8
@@ -558,6 +603,16 @@ def test_awkward_rows_and_empty_tables(awkward, empty, labels, items, name):
     assert RUNS[name](empty, labels=labels.limit(0), items=items).collect() == []
 
 
+def test_a_hundred_thousand_equal_rows(spark):
+    many = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE 7L END AS doc_id", "'the same short text, said once more' AS text")
+    assert simhash.near_duplicates(many).groupBy("component_id").count().collect()[0]["count"] == 100_000
+    assert simhash.one_of_each(many).collect() == [many.filter("doc_id = 7").first()]
+    assert {r["count"] for r in sharding.shard_documents(many).groupBy("shard").count().collect()} == {6250}
+    packed = packing.pack_documents(many).groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).toPandas()
+    assert packed["sum(length)"].sum() % 100_000 == 0 and packed["sum(length)"].max() <= 4096
+    assert substrings.deduplicated(many).filter("n_removed > 0").count() == 0
+
+
 def stages_of(spark, docs, items, labels, folder):
     docs.write.parquet(f"{folder}/documents.parquet")
     items.write.parquet(f"{folder}/benchmark.parquet")
