@@ -522,9 +522,10 @@ def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TOXIC", 15)
     monkeypatch.setattr(toxicity, "ORDINARY", 25)
     docs = spark.createDataFrame([(7 if i % 2 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i == 7 or i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
-    rows, _ = toxicity.sample(docs, labels, True)
-    assert sum(y for *_, y in rows) == 15 and len(rows) <= 40
+    labels = spark.createDataFrame([(i, int(i in (7, 8))) for i in range(40)], "doc_id long, toxic int")
+    rows, stands = toxicity.sample(docs, labels, True)  # 301 rows are marked toxic, by two labels
+    kinds = Counter(y for *_, y in rows)
+    assert kinds[1] == 2 and 0 < kinds[0] <= 25 and stands == (38 / kinds[0], 1.0)
 
 
 def test_both_dictionaries_are_trained(docs):
