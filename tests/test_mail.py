@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from postloom.functions import query as language
-from postloom.functions.terms import terms
+from postloom.functions.terms import postings, terms
 from postloom.operators import filters, search, tables
 from postloom.operators.filters import FilterError, Token, parse_filter
 from postloom.plans import (
@@ -112,5 +112,17 @@ def test_bad_queries_are_quoted(text):
         language.understood(text)
 
 
+def test_latin_rows_are_cut_as_all_others(spark):
+    """Spark's expressions and Python agree on every character that the former take, and between them."""
+    letters = [chr(c) for c in (*range(1, 0x250), *range(0x2000, 0x2070))]
+    rows = [(f"r{i}", f"a{c}b {c} x{c}{d} Ab{c}") for i, (c, d) in enumerate(zip(letters, letters[1:] + letters[:1], strict=True))]
+    rows += [("wide", "日本 a\ue000b Ünïcode ΑΣ İstanbul"), ("none", None), ("blank", "")]
+    got = {}
+    for r in postings(spark.createDataFrame(rows, "id string, subject string")).collect():
+        got.setdefault(r.id, []).append((r.pos, r.term))
+    assert {i: [t for _, t in sorted(v)] for i, v in got.items()} == {i: terms(t) for i, t in rows if terms(t)}
+
+
 def test_terms():
+    assert terms("a\ue000b") == ["a\ue000b"]
     assert terms("Café_Å don't straße 42") == ["cafe", "a", "don", "t", "straße", "42"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import mailbox
 import zipfile
+from email import message_from_bytes
 from email.message import EmailMessage
 from email.utils import getaddresses
 
@@ -80,3 +82,12 @@ def test_names_are_quoted(header, pairs):
 
 def test_encoded_words():
     assert mail.decoded("=?utf-8?B?Q2Fmw6kgVGVzdA==?=") == "Café Test" and mail.decoded("a\r\n b") == "a b" and mail.decoded("=?x-none?Q?=E9?=") == "�" and mail.decoded(None) == ""
+
+
+def test_ids_and_times_without_headers():
+    raw = b"Subject: =?utf-8?q?=C3=A9?=\nFrom: a@b\n\nbody\n"
+    m = message_from_bytes(raw)
+    line = "- Thu Jan 15 16:42:05 2009"
+    want = hashlib.sha1(("=?utf-8?q?=C3=A9?=" + "a@b" + line + "body\n").encode()).hexdigest()
+    assert mail.message_id(m, line, "thunderbird:") == f"thunderbird:sha1:{want}"
+    assert mail.sent(m, line) == ("Thu, 15 Jan 2009 16:42:05 +0000", 1232037725000) and mail.sent(m, "-") == (None, None)
