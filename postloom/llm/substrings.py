@@ -169,7 +169,7 @@ def dealt(found: DataFrame, hot: int | None = None) -> DataFrame:
             yield from keyed(out)
 
     columns = ["uid", "doc_id", "anchor", "first", "key", "key2", "words"]
-    return found.join(wide, "anchor", "left_anti").select(*columns).unionByName(found.join(wide, "anchor").mapInArrow(cut, CELLS))
+    return found.join(wide, "anchor", "left_anti").select(*columns).unionByName(store(found.join(wide, "anchor").mapInArrow(cut, CELLS), "windows"))
 
 
 def recurring_windows(coded: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
