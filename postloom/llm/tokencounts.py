@@ -51,8 +51,13 @@ class Trie:
     ``ends`` has the counts of the words that were put in."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: The pieces backwards: for each character the pieces that end so, and under "" a score.
+        self.ending: dict = {}
+        for piece, score in scores.items():
+            held = self.ending
+            for c in reversed(piece):
+                held = held.setdefault(c, {})
+            held[""] = score
         self.clear()
 
     def clear(self) -> None:
@@ -73,15 +78,20 @@ class Trie:
     def grow(self, pre: str, i: int, path: list[int]) -> int:
         """The node of pre[:i + 1], whose shorter prefixes are on the path."""
         best, least = -math.inf, 0
-        for start in range(i, max(-1, i - self.longest), -1):
-            score = self.scores.get(pre[start : i + 1])
+        bests, tokens, held = self.best, self.tokens, self.ending
+        for start in range(i, -1, -1):
+            held = held.get(pre[start])
+            if held is None:
+                break
+            score = held.get("")
             if score is not None:
-                total, n = self.best[path[start]] + score, self.tokens[path[start]] + 1
+                at = path[start]
+                total, n = bests[at] + score, tokens[at] + 1
                 if total > best or total == best and n < least:
                     best, least = total, n
-        if pre[i] not in self.scores:
+        if "" not in self.ending.get(pre[i], {}):
             size = len(pre[i].encode("utf-8", "surrogatepass"))
-            total, n = self.best[path[i]] + BYTE * size, self.tokens[path[i]] + size
+            total, n = bests[path[i]] + BYTE * size, tokens[path[i]] + size
             if total > best or total == best and n < least:
                 best, least = total, n
         self.below.append({})
