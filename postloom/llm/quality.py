@@ -13,7 +13,7 @@ least, one row of each. Every row is scored on its whole text, in the pass that
 again, so nothing has to be joined.
 
 Nulls, empty texts: an empty text is scored like any other (it has no words). Null doc_ids and
-repeated rows keep their rows; equal rows are one to the sample. A text of any length is read whole.
+repeated rows keep their rows; equal rows are one to the sample. A score of exactly KEEP is kept. A text of any length is read whole.
 An empty table gives an empty result. Other columns are left aside.
 """
 

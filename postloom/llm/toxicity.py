@@ -83,7 +83,9 @@ def differing(rows: list[tuple[list[bytes], int]]) -> list[bytes]:
         text = joined(found)
         held[label][np.unique(np.concatenate([slots(text, g) for g in GRAMS]))] += 1
         number[label] += 1
-    telling = (held[1] >= max(3.0, RECURS * number[1])) & (held[1] * (number[0] / max(1, number[1])) >= TIMES * held[0].astype(np.float32))
+    often = np.flatnonzero(held[1] >= max(3.0, RECURS * number[1]))
+    telling = np.zeros(SLOTS, bool)
+    telling[often[held[1][often] * (number[0] / max(1, number[1])) >= TIMES * held[0][often].astype(float)]] = True
     out = []
     for found, label in rows:
         if label:
