@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from ..operators.store import Archive
@@ -44,7 +45,7 @@ def sync(archive: Archive, factory: str, argument: str, checkpoint: str, **optio
         # A checkpoint for each starting point: its offsets are only good for one.
         query = rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{checkpoint}/{since}").trigger(availableNow=True).start()
         query.awaitTermination()
-    except Exception as e:
+    except PySparkException as e:  # Spark's own error, with that of the source in its text
         if "HistoryExpired" not in str(e):
             raise
         full(archive, factory, argument, **options)
