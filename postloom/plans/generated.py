@@ -40,8 +40,10 @@ def folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def put(uri: str, data: bytes) -> None:
+def put(uri: str, data: bytes, below: str = "") -> None:
+    """Writes a file, at a path below the URI if one is given (a path may hold what a URI can't)."""
     store, path = fs.FileSystem.from_uri(uri)
+    path += below
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(path) as out:
         out.write(data)
@@ -106,8 +108,8 @@ def write_profile(docs: DataFrame, uri: str) -> None:
             out.close()
 
     kept.repartition("source", "store").sortWithinPartitions("source", "store", "doc_id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-    put(f"{uri}/Mail/Local Folders/skipped.msf", b"From - \n")
-    put(f"{uri}/prefs.js", b"")
+    put(uri, b"From - \n", "/Mail/Local Folders/skipped.msf")
+    put(uri, b"", "/prefs.js")
 
 
 def api_message(key: int, name: str, nation: int, segment: str, text: str, prefix: str = "c") -> dict:
