@@ -40,7 +40,7 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 CELL_ROWS = 50_000
 #: Pieces whose ids a worker keeps between batches; workers outlive their stage, and later ones need the memory.
-KEPT = 300_000
+KEPT = 900_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: One of these for each length: the pieces numbered from ``first`` go to the sequences from
 #: ``sequence``, ``times`` in each, from ``offset``.
