@@ -167,6 +167,31 @@ def test_clashing_ids_lose_no_group(spark):
     assert [r.text for r in simhash.one_of_each(spark.createDataFrame(tied, "doc_id long, text string")).collect()] == [c + " y"]
 
 
+def test_candidates_come_from_fingerprints(spark, monkeypatch):
+    text = [f"v{i}" for i in range(100)]
+    rows = spark.createDataFrame([(0, " ".join(text)), (1, " ".join([*text, "z"]))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.one_of_each(rows).collect()] == [0]
+    monkeypatch.setattr(simhash, "alike_links", lambda known, m, number: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in simhash.one_of_each(rows).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("m, number, cell", [(8, 10, 2048), (8, 10, 8), (6, 18, 2048), (5, 30, 2048), (4, 64, 2048)])
+def test_fingerprints_find_similar_sets(spark, m, number, cell):
+    rng = np.random.default_rng(m)
+    rows = []
+    for size, only in [(4, 0), (8, 1), (36, 4), (360, 40)] * 20:  # in both, and in one each: 0.8 (4 of 5 for the least)
+        both = rng.integers(0, 1 << 63, size, np.uint64)
+        sets = [np.concatenate([both, rng.integers(0, 1 << 63, n, np.uint64)]) for n in ((0, 1) if not only else (only, only))]
+        rows += [(len(rows) + k, resemblance.words_of_bits(x, number).view(np.int64).tolist()) for k, x in enumerate(sets)]
+    # A group in which each is like the next only: of all its pairs most aren't.
+    chain = rng.integers(0, 1 << 63, 1000, np.uint64)
+    start = len(rows)
+    rows += [(start + k, resemblance.words_of_bits(chain[20 * k : 20 * k + 200], number).view(np.int64).tolist()) for k in range(40)]
+    links = simhash.alike_links(spark.createDataFrame(rows, "node long, fps array<long>"), m, number, cell)
+    root = {r.node: r.root for r in common.connected(links).collect()}
+    assert [root.get(i, i) for i, _ in rows] == [min(i - i % 2, start) for i, _ in rows]
+
+
 # Sharding ---------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_groups_together(spark):
