@@ -175,26 +175,50 @@ def fitted(rows: list[tuple[int, str, int]], stands: tuple[float, float] = (1.0,
     return Model(*dictionaries([(w, y) for _, w, y in told]), tuple(weights.tolist()))
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[list[tuple[int, str, int]], tuple[float, float]]:
-    """The bounded sample, rows of both classes in proportion until a bound is met, and how many
-    labelled rows a row of each class stands for."""
+def drawn(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[DataFrame, dict[int, int]]:
+    """The bounded sample (doc_id, text, toxic), rows of both classes in proportion until a bound is
+    met, and how many rows of each class are labelled."""
     rows = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     if not learn:
         rows = rows.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2")
-    count = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    count = {int(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = min(1.0, TOXIC / max(1, count.get(1, 0)), ORDINARY * 4 / max(1, count.get(0, 0)))
     want = {1: math.ceil(count.get(1, 0) * share), 0: min(ORDINARY, math.ceil(count.get(0, 0) * share))}
-    got: list[tuple[int, str, int]] = []
-    stands = [1.0, 1.0]
+    parts = []
     for y, n in want.items():
-        if n:
-            taken = rows.filter(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-            texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")  # at most n ids
-            # An id may have any number of rows: the bound holds for what is collected.
-            held = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(n).collect()
-            got += [(r.doc_id, r.text, y) for r in held]
-            stands[y] = count[y] / max(1, len(held))
-    return got, (stands[0], stands[1])
+        taken = rows.filter(F.col("toxic") == y).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")  # at most n ids
+        # An id may have any number of rows: the bound holds for what is drawn.
+        held = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(n)
+        parts.append(held.select(F.col("doc_id").cast("long"), "text", F.lit(y).alias("toxic")))
+    return parts[0].unionByName(parts[1]), count
+
+
+def stands_for(rows: list[tuple[int, str, int]], count: dict[int, int]) -> tuple[float, float]:
+    """How many labelled rows a row of each class stands for."""
+    held = [sum(y == k for _, _, y in rows) for k in (0, 1)]
+    return tuple(count[k] / max(1, held[k]) if count.get(k) else 1.0 for k in (0, 1))
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[list[tuple[int, str, int]], tuple[float, float]]:
+    """The rows of the bounded sample and what they stand for, on the driver."""
+    held, count = drawn(docs, labels, learn)
+    got = [tuple(r) for r in held.collect()]
+    return got, stands_for(got, count)
+
+
+def learned(docs: DataFrame, labels: DataFrame, learn: bool = False) -> Model:
+    """The model fitted to the sample in a task of its own: the driver gets the dictionaries, no text."""
+    held, count = drawn(docs, labels, learn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for rows in rows_of(batches) for x in zip(rows["doc_id"], rows["text"], rows["toxic"], strict=True)]
+        model = fitted(got, stands_for(got, count))
+        cols = [pa.array([model.ordinary], pa.binary()), pa.array([model.toxic], pa.binary()), pa.array([list(model.weights)], pa.list_(pa.float64()))]
+        yield pa.record_batch(cols, ["ordinary", "toxic", "weights"])
+
+    made = held.repartition(1).mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(made.ordinary), bytes(made.toxic), tuple(made.weights)) if made else fitted([])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -219,7 +243,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame, learn: bool = False) -> DataFrame:
     """Scores docs with a model fitted to rows of ``labelled`` that ``labels(doc_id, toxic)`` mark.
     ``learn``: whether rows of the held-out fold may be learned from too."""
-    return scored(docs, fitted(*sample(labelled, labels, learn)))
+    return scored(docs, learned(labelled, labels, learn))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -553,6 +554,23 @@ def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     assert kinds[1] == 2 and 0 < kinds[0] <= 25 and stands == (38 / kinds[0], 1.0)
 
 
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    args = small(spark), small(spark, "labels"), False
+    want = toxicity.fitted(*toxicity.sample(*args))
+
+    driver, fitted = os.getpid(), toxicity.fitted
+
+    def elsewhere(*told):
+        assert os.getpid() != driver
+        return fitted(*told)
+
+    monkeypatch.setattr(toxicity, "fitted", elsewhere)
+    asked = []
+    monkeypatch.setattr(toxicity, "scored", lambda docs, model: asked.append(model))
+    toxicity.toxicity(args[0], *args)
+    assert asked == [want]
+
+
 def test_both_dictionaries_are_trained(docs):
     rng = np.random.default_rng(3)
     rows = [(toxicity.words_of(t) + [b"vilestword", b"meanestword"] * (i % 4 == 0) * int(rng.integers(1, 4)), int(i % 4 == 0)) for i, t in docs]
