@@ -326,7 +326,8 @@ def alike_links(texts: DataFrame, m: int, number: int, cell: int = CELL) -> Data
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp", "more1", "more2")
         )
-        links = store(placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long"), "alike")
+        # By node, so that the links of a group begin at few nodes, whatever the bucket.
+        links = store(placed.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long"), "alike")
         found = links if found is None else found.unionByName(links)
     return store(found.distinct(), "alike")
 
