@@ -256,30 +256,38 @@ def plan_for(texts: int) -> tuple[int, int]:
     return next((m, number) for most, m, number in PLANS if texts <= most)
 
 
-def alike(fps: np.ndarray, first: int) -> np.ndarray:
-    """Of rows of three fingerprints each, the smallest row that each is connected with, by pairs
-    among all rows, or between the ``first`` ones and the others."""
-    index = GrayIndex(fps[first:, 0])
-    up = np.arange(len(fps))
-    for who, place in index.near(fps[:first, 0] if first else fps[:, 0], WIDE):
-        other = index.order[place] + first
-        new = (who < other) & (up[who] != up[other])
-        who, other = who[new], other[new]
-        sure = np.bitwise_count(fps[who] ^ fps[other]).sum(axis=1) <= SURE
-        up = roots(len(fps), up[who[sure]], up[other[sure]])[up]
-    return up
+def alike(fps: np.ndarray, first: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (root, smaller root) between the components of rows of three fingerprints each, by pairs among
+    all rows, or between the ``first`` ones and the others."""
+    names, label = np.unique(root, return_inverse=True)
+    up = np.arange(len(names))
+    if len(names) > 1:
+        index = GrayIndex(fps[first:, 0])
+        for who, place in index.near(fps[:first, 0] if first else fps[:, 0], WIDE):
+            other = index.order[place] + first
+            new = (who < other) & (up[label[who]] != up[label[other]])
+            who, other = who[new], other[new]
+            sure = np.bitwise_count(fps[who] ^ fps[other]).sum(axis=1) <= SURE
+            up = roots(len(names), up[label[who[sure]]], up[label[other[sure]]])[up]
+    moved = np.flatnonzero(up != np.arange(len(names)))
+    return names[moved], names[up[moved]]
 
 
 def alike_links(texts: DataFrame, m: int, number: int, cell: int = CELL) -> DataFrame:
     """(a, b): links between ``texts(node, fps)``, ``number`` fingerprints each, enough to connect all
-    texts of which a block agrees and three fingerprints hardly differ."""
+    texts of which a block agrees and three fingerprints hardly differ.
+
+    A group of n texts is in every bucket of theirs, and each would link it anew, a pair of tiles too. So the
+    first fingerprint's tiles are solved one by one, which gives at most ``m`` links a text, and all others and the
+    pairs of tiles only look for links between the components of these."""
     cuts = [64 * i // m for i in range(m + 1)]
     group = ["key", "i", "j"]
+    columns = ["own", "root", "fp", "more1", "more2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(cols: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            i, j, own, node = cols[1:5]
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            i, j, own, root = cols[1:5]
             fps = np.stack(cols[5:], axis=1).view(np.uint64)
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 at, first = np.arange(s, e), 0
@@ -289,12 +297,10 @@ def alike_links(texts: DataFrame, m: int, number: int, cell: int = CELL) -> Data
                     if first in (0, e - s):
                         continue
                 if e - s > 1:
-                    up = alike(fps[at], first)
-                    moved = np.flatnonzero(up != np.arange(len(up)))
-                    a.append(node[at[moved]])
-                    b.append(node[at[up[moved]]])
-            none = [np.empty(0, np.int64)]
-            return pa.record_batch([pa.array(np.concatenate(a + none)), pa.array(np.concatenate(b + none))], ["a", "b"])
+                    high, low = alike(fps[at], first, root[at])
+                    a.append(high)
+                    b.append(low)
+            return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -309,26 +315,38 @@ def alike_links(texts: DataFrame, m: int, number: int, cell: int = CELL) -> Data
         if held is not None and len(held[0]):
             yield solved(held, np.array([0, len(held[0])]))
 
-    found: DataFrame | None = None
-    for at in range(0, number, ROUND):
+    def dealt(rooted: DataFrame, some: range) -> DataFrame:
+        """Texts by every block of some fingerprints, each with its tile of the bucket."""
         keys = []
-        for w in range(at, min(at + ROUND, number)):
+        for w in some:
             fp, more = F.col("fps")[w], [F.col("fps")[(w + k) % number].alias(f"more{k}") for k in (1, 2)]
             for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 block = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
                 keys.append(F.struct((block + F.lit((w * m + k) << 32)).alias("key"), fp.alias("fp"), *more))
-        dealt = texts.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.*")
-        large = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell)
-        placed = (
-            dealt.join(large, "key", "left")
+        blocks = rooted.select("node", "root", F.explode(F.array(*keys)).alias("k")).select("node", "root", "k.*")
+        large = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("root") == F.max("root")).alias("one")).filter(F.col("n") > cell)
+        # A bucket of one component has no link to add.
+        return (
+            blocks.join(large, "key", "left").filter("one IS NULL OR NOT one")
             .withColumn("t", F.coalesce(F.ceil(F.col("n") / cell), F.lit(1)).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("t")).cast("int"))
+        )
+
+    def links(placed: DataFrame) -> DataFrame:
+        return store(placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct(), "alike")
+
+    alone = dealt(texts.withColumn("root", F.col("node")), range(1))
+    begun = store(connected(links(alone.select("key", F.col("own").alias("i"), F.col("own").alias("j"), *columns))), "begun")
+    rooted = store(texts.join(begun, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    found = begun.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for at in range(0, number, ROUND):
+        pairs = (
+            dealt(rooted, range(at, min(at + ROUND, number)))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp", "more1", "more2")
+            .filter((F.col("key") >= m << 32) | (F.col("own") != F.col("other")))
+            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
         )
-        # By node, so that the links of a group begin at few nodes, whatever the bucket.
-        links = store(placed.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long"), "alike")
-        found = links if found is None else found.unionByName(links)
+        found = found.unionByName(links(pairs))
     return store(found.distinct(), "alike")
 
 

@@ -193,6 +193,22 @@ def test_fingerprints_find_similar_sets(spark, m, number, cell):
     assert [root.get(i, i) for i, _ in rows] == [min(i - i % 2, start) for i, _ in rows]
 
 
+def test_links_of_a_group_grow_with_its_texts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(simhash, "connected", lambda edges: made.append(edges.count()) or common.connected(edges))
+    rng = np.random.default_rng(5)
+    both = rng.integers(0, 1 << 63, 200, np.uint64)
+    rows = [(i, resemblance.words_of_bits(np.append(both, rng.integers(0, 1 << 63, 10, np.uint64)), 10).view(np.int64).tolist()) for i in range(600)]
+    for n in (300, 600):  # in tiles of 32, so that a bucket of most texts is cut into 55 and 190 pairs of tiles
+        links = simhash.alike_links(spark.createDataFrame(rows[:n], "node long, fps array<long>"), 8, 10, 32)
+        made.append(links.count())
+        root = {r.node: r.root for r in common.connected(links).collect()}
+        assert [root.get(i, i) for i in range(n)] == [0] * n
+        assert made[-1] <= 2 * n
+    # At most a link for each block of the first fingerprint.
+    assert len(made) == 4 and made[0] <= 8 * 300 and made[2] <= 8 * 600
+
+
 # Sharding ---------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_groups_together(spark):
