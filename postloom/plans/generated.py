@@ -20,6 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.api import drawer
 from ..sources.pst_writer import Writer
 
 #: Seconds of the first message, and the stores of a folder.
@@ -49,6 +50,11 @@ def put(uri: str, data: bytes, below: str = "") -> None:
         out.write(data)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks, some for each core: a small table is a single task otherwise."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def each(rows: DataFrame, write: Callable[[dict], None]) -> int:
     """Calls write for every row, where the rows are; their number."""
 
@@ -124,9 +130,25 @@ def api_message(key: int, name: str, nation: int, segment: str, text: str, prefi
 
 
 def write_box(customers: DataFrame, uri: str, word: str, prefix: str = "c") -> None:
-    """customer as the messages of a recorded mailbox."""
+    """customer as the messages of a recorded mailbox, by as many tasks as there are cores, however few
+    files the table has."""
     rows = customers.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    each(rows, lambda r: put(f"{uri}/messages/{prefix}{r['c_custkey']}.json", json.dumps(api_message(r["c_custkey"], r["c_name"], r["c_nationkey"], r["c_mktsegment"], f"{word} ÿ {r['c_custkey']}", prefix)).encode()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        made = set()
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = f"{prefix}{r['c_custkey']}"
+                at = f"{root}/messages/{drawer(key)}"
+                if at not in made:
+                    store.create_dir(at, recursive=True)
+                    made.add(at)
+                with store.open_output_stream(f"{at}/{key}.json") as out:
+                    out.write(json.dumps(api_message(r["c_custkey"], r["c_name"], r["c_nationkey"], r["c_mktsegment"], f"{word} ÿ {r['c_custkey']}", prefix)).encode())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    spread(rows).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def personal_folders(nations: list[tuple[int, str, int]]) -> bytes:

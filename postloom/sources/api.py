@@ -11,20 +11,24 @@ import base64
 import hashlib
 import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from email.utils import getaddresses
 from importlib import import_module
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..functions.mail import ROLES
-from .mail import SCHEMA, as_structs
+from .mail import SCHEMA, in_batches
 
-CHUNK = 500
+#: Messages of a page; a task fetches a page's worth, of large mailboxes up to so many.
+CHUNK, MOST = 500, 4000
 ID_PREFIX = "gmail:"
 
 
@@ -147,23 +151,27 @@ class Keys(InputPartition):
 
 
 class Fetching:
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, schema: StructType) -> None:
+        self.schema = schema
         self.factory, self.argument = options["client"], options.get("path", "")
         self.query = options.get("q") or None
         self.content = options.get("withattachments", "false").lower() == "true"
         self.recursive = options.get("recursive", "false").lower() == "true"
-        self.chunk = int(options.get("chunk", CHUNK))
+        self.chunk = int(options.get("chunk", 0))
         self.start = int(options.get("starthistory", 0))
 
     def api(self) -> MailApi:
         return client(self.factory, self.argument)
 
     def cut(self, keys: list[str], first: int = 0) -> list[Keys]:
-        return [Keys(keys[i : i + self.chunk], first + i) for i in range(0, len(keys), self.chunk)]
+        step = self.chunk or max(CHUNK, min(MOST, len(keys) // CHUNK))
+        return [Keys(keys[i : i + step], first + i) for i in range(0, len(keys), step)]
 
-    def read(self, part: Keys | None) -> Iterator[tuple]:
-        if part is None:  # an empty listing
-            return
+    def read(self, part: Keys | None) -> Iterator[pa.RecordBatch]:
+        if part is not None:  # an empty listing
+            yield from in_batches(self.rows(part), self.schema)
+
+    def rows(self, part: Keys) -> Iterator[dict]:
         api = self.api()
         for i, key in enumerate(part.keys):
             raw = patiently(api.message, key)
@@ -173,7 +181,7 @@ class Fetching:
                     if a["attachment_id"]:
                         data = patiently(api.attachment, key, a["attachment_id"])
                         a |= {"content": data, "size": len(data), "content_sha256": hashlib.sha256(data).hexdigest()}
-                yield tuple(as_structs(row).values())
+                yield row
 
 
 class BatchReader(Fetching, DataSourceReader):
@@ -214,10 +222,10 @@ class ApiSource(DataSource):
         return {k.lower(): v for k, v in self.options.items()}
 
     def reader(self, schema) -> DataSourceReader:
-        return BatchReader(self._lower())
+        return BatchReader(self._lower(), schema)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return ChangeReader(self._lower())
+        return ChangeReader(self._lower(), schema)
 
 
 def mailbox(spark: SparkSession, factory: str, argument: str = "", **options: str) -> DataFrame:
@@ -231,13 +239,20 @@ def changes(spark: SparkSession, factory: str, argument: str, since: int, **opti
     return spark.readStream.format("mailapi").options(client=factory, startHistory=str(since), **options).load(argument)
 
 
+def drawer(key: str) -> str:
+    """The folder of a large recorded mailbox that a message is in."""
+    return f"{zlib.crc32(key.encode()) % 256:02x}"
+
+
 class Recorded:
-    """A mailbox as JSON files below a URI: ``messages/<id>.json``, ``history.json`` (a list of
-    [history id, message id], oldest first), ``labels.json``, ``profile.json``; attachments are
-    ``attachments/<id>`` and messages that are put go to ``put/``."""
+    """A mailbox as JSON files below a URI: ``messages/<id>.json`` or ``messages/<drawer>/<id>.json``,
+    ``history.json`` (a list of [history id, message id], oldest first), ``labels.json``,
+    ``profile.json``; attachments are ``attachments/<id>`` and messages that are put go to ``put/``."""
 
     def __init__(self, uri: str) -> None:
         self.store, self.root = fs.FileSystem.from_uri(uri)
+        #: Of the listing under way: the query, its folders, and the names in the folder it is at.
+        self.listing: tuple[str | None, list[str], tuple[int, list[str]]] | None = None
 
     def _get(self, name: str, default: Any = None) -> Any:
         path = f"{self.root}/{name}"
@@ -256,13 +271,23 @@ class Recorded:
         return self._get("profile.json", {"historyId": max([h for h, _ in self._get("history.json", [])], default=0)})
 
     def ids(self, query: str | None, page: str | None) -> tuple[list[str], str | None]:
-        names = sorted(f.base_name.removesuffix(".json") for f in self.store.get_file_info(fs.FileSelector(f"{self.root}/messages")))
+        """A folder is listed when its first page is asked for, not once for each page."""
+        k, at = map(int, page.split(".")) if page else (0, 0)
+        if not page or not self.listing or self.listing[0] != query:
+            top = self.store.get_file_info(fs.FileSelector(f"{self.root}/messages"))
+            self.listing = query, ["", *sorted(f.base_name for f in top if f.type == fs.FileType.Directory)], (-1, [])
+        _, folders, (listed, names) = self.listing
+        if listed != k:
+            names = self.names(folders[k], query)
+            self.listing = query, folders, (k, names)
+        after = f"{k}.{at + CHUNK}" if at + CHUNK < len(names) else f"{k + 1}.0" if k + 1 < len(folders) else None
+        return names[at : at + CHUNK], after
+
+    def names(self, folder: str, query: str | None) -> list[str]:
+        found = self.store.get_file_info(fs.FileSelector(f"{self.root}/messages/{folder}".rstrip("/")))
         hidden = set(self._get("hidden.json", []))
-        names = [n for n in names if n not in hidden]
-        if query:
-            names = [n for n in names if self.answers(n, query)]
-        at = int(page or 0)
-        return names[at : at + CHUNK], str(at + CHUNK) if at + CHUNK < len(names) else None
+        names = sorted({f.base_name.removesuffix(".json") for f in found if f.type == fs.FileType.File} - hidden)
+        return [n for n in names if self.answers(n, query)] if query else names
 
     def answers(self, key: str, query: str) -> bool:
         """``label:`` with a label's id or name, ``subject:``, or any text."""
@@ -282,7 +307,9 @@ class Recorded:
         return [m for h, m in told if since < h <= upto], None
 
     def message(self, key: str) -> dict:
-        found = self._get(f"messages/{key}.json")
+        found = self._get(f"messages/{drawer(key)}/{key}.json")
+        if found is None:
+            found = self._get(f"messages/{key}.json")
         if found is None:
             raise ApiError(404, key)
         return found

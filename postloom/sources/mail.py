@@ -22,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import compose, mail
 from ..functions.normalise import IGNORED
@@ -101,6 +103,23 @@ def split_messages(lines: Iterator[bytes], at: int, start: int, end: int) -> Ite
         yield place, head, whole(held)
 
 
+#: Rows, and bytes of text and contents, of a batch.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def in_batches(rows: Iterator[dict], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, which Spark takes as they are."""
+    kind, held, size = to_arrow_schema(schema), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["body_text"] or "") + len(row["body_html"] or "") + sum(len(a["content"] or b"") for a in row["attachments"])
+        if len(held) == BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=kind)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=kind)
+
+
 class MboxReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.uri = options["path"]
@@ -254,7 +273,6 @@ def detect(uri: str) -> str:
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     return to_arrow_schema(_parse_datatype_string(ddl))
