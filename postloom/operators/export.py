@@ -18,6 +18,8 @@ UNSAFE = r'[/\\:*?"<>|]'
 LONGEST = 120
 #: Main types whose attachments keep their own type, and units of size.
 KEPT_TYPES = ("image", "audio", "video", "application")
+#: Bytes of messages in a batch.
+BATCH_BYTES = 4 << 20
 UNITS = ("B", "KB", "MB", "GB")
 
 
@@ -81,8 +83,15 @@ def as_eml(rows: DataFrame, prefix: str = compose.PREFIX) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"id": r["id"], "label_names": r["label_names"], "raw": compose.eml(r, r["label_names"], r["attachments"], prefix)}], schema=kind)
+                held.append({"id": r["id"], "label_names": r["label_names"], "raw": compose.eml(r, r["label_names"], r["attachments"], prefix)})
+                size += len(held[-1]["raw"])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=kind)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=kind)
 
     kind = pa.schema([("id", pa.string()), ("label_names", pa.list_(pa.string())), ("raw", pa.binary())])
     return rows.mapInArrow(run, "id string, label_names array<string>, raw binary")

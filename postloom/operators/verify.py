@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from email.utils import getaddresses, parsedate_to_datetime
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +27,7 @@ def address_list(values: pd.Series) -> pd.Series:
     """An address header as its sorted ``name <address>`` pairs; comments and quotes don't count."""
 
     def one(v: str | None) -> str | None:
-        told = sorted((" ".join(n.split()), a.replace('"', "").lower()) for n, a in getaddresses([mail.quoted_names(mail.decoded(v))]) if a)
+        told = sorted((" ".join(n.split()), a.replace('"', "").lower()) for n, a in mail.people([mail.decoded(v)]) if a)
         return "; ".join(f"{n} <{a}>" for n, a in told) or None
 
     return values.map(one, na_action="ignore").astype(object)
@@ -58,7 +58,7 @@ def address_rows(messages: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 seen = set()
                 for role, column in held:
-                    for name, address in getaddresses([mail.quoted_names(mail.decoded(r[column]))]) if r[column] else ():
+                    for name, address in mail.people([mail.decoded(r[column])]) if r[column] else ():
                         key = address.strip().lower()
                         if key and (role, key) not in seen:
                             seen.add((role, key))

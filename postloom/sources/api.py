@@ -14,7 +14,6 @@ import time
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from email.utils import getaddresses
 from importlib import import_module
 from typing import Any, Protocol
 
@@ -25,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from ..functions.mail import ROLES
+from ..functions.mail import people as people_of
 from .mail import SCHEMA, in_batches
 
 #: Messages of a page; a task fetches a page's worth, of large mailboxes up to so many.
@@ -119,7 +119,7 @@ def projected(raw: dict) -> dict:
     kind, body = next(((k, t) for k, t in texts if t), (None, ""))
     people: dict[tuple[str, str], dict] = {}
     for role in ROLES:
-        for name, address in getaddresses([head[role]]) if head.get(role) else ():
+        for name, address in people_of([head[role]], repair=False) if head.get(role) else ():
             if key := address.strip().lower():
                 people.setdefault((role, key), {"role": role, "address": key, "name": name.strip() or None})
     files = []

@@ -8,13 +8,11 @@ Spark's own binary reader. ``seq`` is the order of arrival, the same in every ru
 
 from __future__ import annotations
 
-import email
 import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from email import policy
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -171,7 +169,7 @@ class MboxReader(DataSourceReader):
                     at += len(raw.readline())
             label = label_of(part.folder)
             for place, head, text in split_messages(raw, at, part.start, part.end):
-                message = email.message_from_bytes(text, policy=policy.compat32)
+                message = mail.parsed(text)
                 for one in mail.with_inner(message) if self.recursive else (message,):
                     found = mail.row(one, label, part.number << STORE_BITS | place, from_line=head if one is message else "", content=self.content)
                     yield tuple(as_structs(found).values())
@@ -209,7 +207,7 @@ def eml_tree(spark: SparkSession, path: str, content: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [mail.row(email.message_from_bytes(raw, policy=policy.compat32), "", 0, prefix="eml:", content=content) | {"seq": 0, "path": p} for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            rows = [mail.row(mail.parsed(raw), "", 0, prefix="eml:", content=content) | {"seq": 0, "path": p} for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA + ", path string")
@@ -226,7 +224,7 @@ def rows_back(files: DataFrame, prefix: str = compose.PREFIX, content: bool = Fa
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64).to_pylist()
-                rows = [(compose.read_back(email.message_from_bytes(f["raw"], policy=policy.compat32), prefix, content), f["path"]) for f in part]
+                rows = [(compose.read_back(mail.parsed(f["raw"]), prefix, content), f["path"]) for f in part]
                 yield pa.RecordBatch.from_pylist([row | {"seq": 0, "path": p} for row, p in rows if row is not None], schema=kind)
 
     return files.mapInArrow(run, ddl)

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+from email import message_from_bytes, policy
+from email.message import EmailMessage
+from email.utils import getaddresses
 
+import pytest
+
+from postloom.functions import compose, mail
 from postloom.sources import api
 
 
@@ -36,3 +42,31 @@ def test_a_folder_is_listed_once_not_for_each_page(tmp_path, monkeypatch):
     # A page is also found by a client that has listed nothing yet.
     first, page = box.ids(None, None)
     assert api.Recorded(f"file://{tmp_path}").ids(None, page) == box.ids(None, page)
+
+
+SUBJECTS = ("1-URGENT order 7", "a  b", "é", "=?utf-8?q?x?=", "x: y; z", " a", "")
+SENDERS = ("C#1 <c.1@x.example>", "a@b.c, D E <d@e.f>", "Doe, J (x) <j@x>", '"A, B" <q@r>', "é <e@f>", "=?utf-8?q?x?= <a@b>", "a@b,c@d", "")
+BODIES = ("Segment X", "", "a\nb\n\n", "a\r\nb\rc", "ÿ" * 39, "ÿ" * 40, "x" * 79, "From me")
+
+
+@pytest.mark.parametrize("sender", SENDERS)
+def test_single_parts_are_written_and_read_as_by_the_library(sender, monkeypatch):
+    for subject in SUBJECTS:
+        for body in BODIES:
+            row = {"id": "gmail:1", "sender": sender, "subject": subject, "internal_date_ms": 820540800000, "body_text": body}
+            files = [{"filename": "part.bin", "mime_type": "a/b", "size": 4, "content": None}]
+            raw = compose.eml(row, ["F", "Flags/Urgent"], files)
+            with monkeypatch.context() as m:
+                m.setattr(compose, "single", lambda *_: None)
+                assert raw == compose.eml(row, ["F", "Flags/Urgent"], files)
+            for held in (raw, raw.replace(b"\n", b"\r\n"), b"From x\n" + raw, raw.replace(b"Subject", b"Subject "), raw.replace(b": ", b":\n ", 2), raw.replace(b"text/plain", b"message/rfc822")):
+                want, got = message_from_bytes(held, policy=policy.compat32), mail.parsed(held)
+                assert want.items() == got.items() and want.as_bytes() == got.as_bytes() and mail.row(want, "", 0) == mail.row(got, "", 0)
+    assert mail.people([sender]) == getaddresses([mail.quoted_names(sender)])
+
+
+def test_a_plain_message_needs_no_tree_of_parts(monkeypatch):
+    monkeypatch.setattr(EmailMessage, "set_content", None)
+    monkeypatch.setattr(mail, "message_from_bytes", None)
+    raw = compose.eml({"id": "gmail:1", "sender": SENDERS[0], "subject": SUBJECTS[0], "internal_date_ms": 5, "body_text": "é"}, [], [])
+    assert compose.read_back(mail.parsed(raw))["body_text"] == "é\n"
