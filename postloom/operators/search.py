@@ -1,7 +1,7 @@
 """Full-text search: postings, boolean matching by joins, BM25 ranking, snippets of the hits.
 
-A stored index is sorted by term, so a search reads the row groups of its terms alone, and keeps each
-row's length and their sum, so nothing but hits is joined.
+The segments of a stored index are sorted by term, so a search reads the row groups of its terms alone,
+and it keeps each row's length and their sum, so nothing but hits is joined.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query import Both, Near, Phrase, understood
 from ..functions.snippet import snippet
-from ..functions.terms import postings
+from ..functions.terms import COLUMNS, postings
 
 K1, B = 1.2, 0.75
 
@@ -37,14 +37,23 @@ class Index:
         return self.postings.join(ids, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
 
 
+#: Characters of text in a segment of the index, and bytes of its row groups.
+SEGMENT, GROUP = 32_000_000, 8 << 20
+
+
 def build(rows: DataFrame, folder: str) -> Index:
-    """Writes the index of rows below a folder."""
-    told = postings(rows)
-    # By id too: a term may be in any share of the rows.
-    told.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "col", "pos").write.parquet(f"{folder}/postings")
-    held = rows.sparkSession.read.parquet(f"{folder}/postings")
-    held.groupBy("id").agg(F.count(F.lit(1)).alias("dl")).write.parquet(f"{folder}/lengths")
-    return Index(held, rows.sparkSession.read.parquet(f"{folder}/lengths"), rows.count(), held.count())
+    """Writes the index of rows below a folder, as segments: each holds all postings of some rows,
+    sorted by term, so terms are found once and only texts are dealt out. A search reads the row
+    groups of its terms in every segment."""
+    held = rows.select("id", *[c for c in COLUMNS if c in rows.columns])
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)) for c in held.columns[1:]], F.lit(0)).cast("long")
+    n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    segments = max(rows.sparkSession.sparkContext.defaultParallelism, -(-chars // SEGMENT))
+    told = postings(held.repartition(segments, "id")).sortWithinPartitions("term")
+    told.write.option("parquet.block.size", GROUP).parquet(f"{folder}/postings")
+    found = rows.sparkSession.read.parquet(f"{folder}/postings")
+    found.groupBy("id").agg(F.count(F.lit(1)).alias("dl")).write.parquet(f"{folder}/lengths")
+    return Index(found, rows.sparkSession.read.parquet(f"{folder}/lengths"), n, found.count())
 
 
 def index_of(rows: DataFrame, held: DataFrame | Index | None) -> Index:

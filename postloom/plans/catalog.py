@@ -300,7 +300,9 @@ query("search_first", f"{duck('m_docs')}{TERMS} SELECT DISTINCT id FROM t WHERE
 
 @query("fts_index_totals", f"{duck('m_docs')}{TERMS} SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT term) FROM t) AS terms, (SELECT count(DISTINCT id) FROM t) AS ids")
 def fts_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexed(spark, sf_dir).postings.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("ids"))
+    held = indexed(spark, sf_dir)
+    told = held.postings.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("terms"))
+    return told.crossJoin(F.broadcast(held.lengths.agg(F.count(F.lit(1)).alias("ids"))))  # a length for each id; one row on either side
 
 
 @query("fts_postings_stats", f"{duck('m_docs')}{TERMS} SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM t GROUP BY term")

@@ -8,8 +8,10 @@ from email.message import EmailMessage
 from email.utils import getaddresses
 
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.functions import compose, mail
+from postloom.operators import search
 from postloom.sources import api
 
 
@@ -70,3 +72,17 @@ def test_a_plain_message_needs_no_tree_of_parts(monkeypatch):
     monkeypatch.setattr(mail, "message_from_bytes", None)
     raw = compose.eml({"id": "gmail:1", "sender": SENDERS[0], "subject": SUBJECTS[0], "internal_date_ms": 5, "body_text": "é"}, [], [])
     assert compose.read_back(mail.parsed(raw))["body_text"] == "é\n"
+
+
+def test_a_segment_of_the_index_holds_whole_rows_sorted_by_term(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SEGMENT", 400)
+    rows = spark.createDataFrame([(f"d{i}", f"Title {i}", f"license apache {'é ж'[i % 3]} word{i % 5} license") for i in range(60)], "id string, subject string, body_text string")
+    index = search.build(rows, f"file://{tmp_path}")
+    files = index.postings.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    assert {r.n for r in files.groupBy("id").agg(F.count_distinct("file").alias("n")).collect()} == {1}
+    assert files.select("file").distinct().count() >= 8
+    held = files.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("t")).collect()
+    assert all(r.t == sorted(r.t) for r in held)
+    assert (index.rows, index.total, index.lengths.agg(F.sum("dl")).first()[0]) == (60, index.postings.count(), index.total)
+    for text in ("license", "lic* NOT word3", '"apache ж"', "NEAR(title license, 3)"):
+        assert sorted(search.search(rows, text, -1, index).collect()) == sorted(search.search(rows, text, -1).collect())
