@@ -81,10 +81,18 @@ def message_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return tables.differences(normal(left.select(*both)), normal(right.select(*both)))
 
 
+#: Copies of a row that are made at once.
+COPIES = 4096
+
+
 def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one side has more often, with ``side``."""
+    """Rows that one side has more often, with ``side``, as often as it has them more."""
     columns = left.columns
-    return left.exceptAll(right.select(*columns)).withColumn("side", F.lit("left")).unionByName(right.select(*columns).exceptAll(left).withColumn("side", F.lit("right")))
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.select(*columns).withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    told = more.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_n", F.abs("_n"))
+    each = told.withColumn("_k", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {COPIES}"))))
+    return each.select(*columns, "side", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("_n") - F.col("_k") * COPIES).cast("int"))).alias("_k")).drop("_k")
 
 
 def label_differences(left: DataFrame, right: DataFrame) -> DataFrame:

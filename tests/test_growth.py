@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from email import message_from_bytes, policy
 from email.message import EmailMessage
 from email.utils import getaddresses
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.functions import compose, mail
-from postloom.operators import search
+from postloom.operators import search, verify
+from postloom.plans import archived
 from postloom.sources import api
 
 
@@ -86,3 +88,22 @@ def test_a_segment_of_the_index_holds_whole_rows_sorted_by_term(spark, tmp_path,
     assert (index.rows, index.total, index.lengths.agg(F.sum("dl")).first()[0]) == (60, index.postings.count(), index.total)
     for text in ("license", "lic* NOT word3", '"apache ж"', "NEAR(title license, 3)"):
         assert sorted(search.search(rows, text, -1, index).collect()) == sorted(search.search(rows, text, -1).collect())
+
+
+def leaves(rows):
+    return rows._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def kept(spark, rows, path):
+    """Rows as a table, which a plan shows each use of."""
+    rows.write.parquet(f"file://{path}")
+    return spark.read.parquet(f"file://{path}")
+
+
+def test_row_differences_go_over_each_side_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(verify, "COPIES", 7)
+    left = kept(spark, spark.createDataFrame([("a", None)] * 30 + [("b", 1)] * 3 + [("c", 2)] * 7 + [(None, None)], "x string, y int"), tmp_path / "l")
+    right = kept(spark, spark.createDataFrame([("a", None)] + [("b", 1)] * 10 + [("d", 4)] * 15 + [(None, None)], "x string, y int"), tmp_path / "r")
+    got = verify.row_differences(left, right)
+    want = left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    assert Counter(got.collect()) == Counter(want.collect()) and leaves(got) == 2 and got.columns == want.columns
