@@ -68,11 +68,13 @@ def address_rows(messages: DataFrame) -> DataFrame:
     return messages.select("id", *[c for _, c in held]).mapInArrow(run, "message_id string, role string, address string, name string")
 
 
-def normal(messages: DataFrame) -> DataFrame:
-    """The columns of messages that messages have, in normal form."""
-    forms = {"subject": header, "body_text": lambda c: F.nullif(normalise.body(c), F.lit("")), "body_html": lambda c: F.nullif(normalise.html(c), F.lit("")), "date": date_ms} | dict.fromkeys(HEADERS, address_list)
+FORMS = {"subject": header, "body_text": lambda c: F.nullif(normalise.body(c), F.lit("")), "body_html": lambda c: F.nullif(normalise.html(c), F.lit("")), "date": date_ms} | dict.fromkeys(HEADERS, address_list)
+
+
+def normal(messages: DataFrame, *more: str) -> DataFrame:
+    """The columns of messages that messages have, in normal form, and more as they are."""
     same = [c for c in ("thread_id", "internal_date_ms", "body_mime_type") if c in messages.columns]
-    return messages.select("id", *same, *[f(F.col(c)).alias(c) for c, f in forms.items() if c in messages.columns])
+    return messages.select("id", *same, *[f(F.col(c)).alias(c) for c, f in FORMS.items() if c in messages.columns], *more)
 
 
 def message_differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -125,22 +127,30 @@ def mailbox_differences(sent: DataFrame, back: DataFrame, run_prefix: str) -> Da
     put into a mailbox and what was read back. Their ids differ, so they are paired by subject and
     time; a message without a pair has the field ``<row>``. The label of the run, told by its prefix,
     has to be the only one more."""
-    on = ["subject", "internal_date_ms"]
-    pairs = tables.pair_unique(sent, back, on)
-    lone = [
-        sent.join(pairs, sent.id == pairs.left_id, "left_anti").select("id", F.lit(None).cast("string").alias("back_id"), F.lit("<row>").alias("field"), F.lit("present").alias("left_value"), F.lit(None).cast("string").alias("right_value")),
-        back.join(pairs, back.id == pairs.right_id, "left_anti").select(F.lit(None).cast("string").alias("id"), F.col("id").alias("back_id"), F.lit("<row>").alias("field"), F.lit(None).cast("string").alias("left_value"), F.lit("present").alias("right_value")),
-    ]
-    named = back.join(pairs, back.id == pairs.right_id).drop("id").withColumnRenamed("left_id", "id")
     held = [c for c in TRIED if c in sent.columns and c in back.columns]
-    told = tables.differences(normal(sent.join(pairs, sent.id == pairs.left_id, "left_semi").select("id", *held)), normal(named.select("id", *held)))
-    more = label_differences(sent, named.select("id", "label_names"))
-    run = (F.size("missing") == 0) & (F.size("extra") == 1) & F.startswith(F.element_at("extra", 1), F.lit(run_prefix))
-    without = sent.select("id", "label_names").join(named.select("id", F.col("label_names").alias("_b")), "id").filter(F.array_sort("label_names") == F.array_sort("_b")).select("id", F.lit("").alias("left_value"), F.lit("").alias("right_value"))
-    wrong = more.filter(~run).select("id", F.array_join("missing", ",").alias("left_value"), F.array_join("extra", ",").alias("right_value")).unionByName(without)
-    told = told.unionByName(wrong.select("id", F.lit("labels").alias("field"), "left_value", "right_value"))
-    known = told.join(pairs.select(F.col("left_id").alias("id"), F.col("right_id").alias("back_id")), "id").select("id", "back_id", "field", "left_value", "right_value")
-    return known.unionByName(lone[0]).unionByName(lone[1])
+    pairs = tables.pair_unique(sent, back, ["subject", "internal_date_ms"]).select(F.col("left_id").alias("id"), F.col("right_id").alias("_to"))
+    left = sent.select("id", F.struct(*held, "label_names").alias("_l")).join(pairs, "id", "left")
+    right = back.select(F.col("id").alias("back_id"), F.struct(*held, "label_names").alias("_r"))
+    # A message without a pair has a key of its own, as null keys would all meet in one task.
+    to = F.struct("_to", F.when(F.col("_to").isNull(), F.col("id")).otherwise("").alias("lone"))
+    both = left.join(right, to == F.struct(F.col("back_id").alias("_to"), F.lit("").alias("lone")), "full_outer")
+    # Normal forms only of values that differ as they stand.
+    for c in held:
+        same = F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) | F.col("_l").isNull() | F.col("_r").isNull()
+        for side in ("_l", "_r"):
+            both = both.withColumn(f"{side}_{c}", FORMS.get(c, lambda x: x)(F.when(~same, F.col(f"{side}.{c}"))))
+    missing, extra = F.array_sort(F.array_except("_l.label_names", "_r.label_names")), F.array_sort(F.array_except("_r.label_names", "_l.label_names"))
+    run = (F.size(missing) == 0) & (F.size(extra) == 1) & F.startswith(F.get(extra, F.lit(0)), F.lit(run_prefix))
+    wrong = ((F.size(missing) + F.size(extra) > 0) & ~run) | (F.array_sort("_l.label_names") == F.array_sort("_r.label_names"))
+    lone = F.col("_l").isNull() | F.col("_r").isNull()
+
+    def told(field: str, left_value: Column, right_value: Column, differs: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), left_value.cast("string").alias("left_value"), right_value.cast("string").alias("right_value"), differs.alias("differs"))
+
+    fields = [told(c, F.col(f"_l_{c}"), F.col(f"_r_{c}"), ~lone & ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}"))) for c in held]
+    fields.append(told("labels", F.array_join(missing, ","), F.array_join(extra, ","), ~lone & wrong))
+    fields.append(told("<row>", F.when(F.col("_l").isNotNull(), "present"), F.when(F.col("_r").isNotNull(), "present"), lone))
+    return both.select("id", "back_id", F.inline(F.array(*fields))).filter("differs").drop("differs")
 
 
 def tree_differences(left: DataFrame, right: DataFrame, run_prefix: str = "") -> DataFrame:

@@ -107,3 +107,15 @@ def test_row_differences_go_over_each_side_once(spark, tmp_path, monkeypatch):
     got = verify.row_differences(left, right)
     want = left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
     assert Counter(got.collect()) == Counter(want.collect()) and leaves(got) == 2 and got.columns == want.columns
+
+
+def test_a_mailbox_is_compared_in_one_join(spark, tmp_path):
+    kind = "id string, subject string, internal_date_ms long, sender string, body_text string, label_names array<string>"
+    sent = [("a", "s1", 1, "J <J@x>", "t", ["L"]), ("b", "s2", 1, "x@y", "t", ["L"]), ("c", "s3", None, "x@y", "t", []), ("d", "s3", None, "x@y", "t", []), ("e", None, 5, None, None, ["L"]), ("f", "s6", 6, "x@y", "t", ["L", "M"]), ("g", "s7", 7, "x@y", "t", None), ("h", "s8", 8, "x@y", "t", [])]
+    back = [("A", "s1", 1, 'j <"j"@X>', "t\r\n", ["run-1", "L"]), ("B", "s2", 1, "x@z", "u", ["L"]), ("C", "s3", None, "x@y", "t", []), ("E", None, 5, None, "", ["L", "run-1"]), ("F", "s6", 6, "x@y", "t", ["L", "run-1"]), ("G", "s7", 7, "x@y", "t", ["run-1"]), ("H", "s8", 8, "x@y", "t", ["other"]), ("I", "s9", 9, "x@y", "t", [])]
+    got = verify.mailbox_differences(kept(spark, spark.createDataFrame(sent, kind), tmp_path / "s"), kept(spark, spark.createDataFrame(back, kind), tmp_path / "b"), "run-")
+    assert leaves(got) == 4
+    assert Counter(map(tuple, got.collect())) == Counter([
+        ("a", "A", "sender", "J <j@x>", "j <j@x>"), ("b", "B", "sender", " <x@y>", " <x@z>"), ("b", "B", "body_text", "t", "u"), ("b", "B", "labels", "", ""), ("f", "F", "labels", "M", "run-1"), ("h", "H", "labels", "", "other"),
+        ("c", None, "<row>", "present", None), ("d", None, "<row>", "present", None), (None, "C", "<row>", None, "present"), (None, "I", "<row>", None, "present"),
+    ])
