@@ -108,8 +108,12 @@ def write_tree(rows: DataFrame, uri: str, form: str = "eml", prefix: str = compo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
 
+        made: set[str] = set()
+
         def put(path: str, data: bytes) -> None:
-            store.create_dir(path.rpartition("/")[0], recursive=True)
+            if (at := path.rpartition("/")[0]) not in made:
+                store.create_dir(at, recursive=True)
+                made.add(at)
             with store.open_output_stream(path) as out:
                 out.write(data)
 

@@ -161,6 +161,7 @@ def tree_differences(left: DataFrame, right: DataFrame, run_prefix: str = "") ->
     def told(rows: DataFrame) -> DataFrame:
         files = F.array_join(F.array_sort(F.transform("attachments", lambda a: F.concat_ws("|", a["filename"], a["content_id"], a["mime_type"], F.sha2(a["content"], 256)))), ";")
         names = F.array_sort(F.filter("label_names", lambda n: ~F.startswith(n, F.lit(run_prefix)))) if run_prefix else F.array_sort("label_names")
-        return normal(rows.select("id", "subject", "date", *HEADERS, "body_text", "body_html")).join(rows.select("id", files.alias("files"), F.array_join(names, ",").alias("labels")), "id")
+        held = rows.select("id", "subject", "date", *HEADERS, "body_text", "body_html", files.alias("files"), F.array_join(names, ",").alias("labels"))
+        return normal(held, "files", "labels")  # at once: the files are read and parsed for each use of rows
 
     return tables.differences(told(left), told(right))

@@ -163,7 +163,8 @@ def tree_of(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     files = spark.createDataFrame([], "message_id string, filename string, mime_type string, size long, content_sha256 string")
     uri = generated.folder(spark, "tree")
-    generated.each(export.write_tree(export.candidates(Mail(rows, spark.createDataFrame([("A", "Work")], "id string, name string"), files, files)), uri), lambda _: None)
+    ready = export.candidates(Mail(rows, spark.createDataFrame([("A", "Work")], "id string, name string"), files, files))
+    generated.each(export.write_tree(generated.spread(ready), uri), lambda _: None)
     return sources.exported_tree(spark, uri, content=True)
 
 

@@ -119,3 +119,15 @@ def test_a_mailbox_is_compared_in_one_join(spark, tmp_path):
         ("a", "A", "sender", "J <j@x>", "j <j@x>"), ("b", "B", "sender", " <x@y>", " <x@z>"), ("b", "B", "body_text", "t", "u"), ("b", "B", "labels", "", ""), ("f", "F", "labels", "M", "run-1"), ("h", "H", "labels", "", "other"),
         ("c", None, "<row>", "present", None), ("d", None, "<row>", "present", None), (None, "C", "<row>", None, "present"), (None, "I", "<row>", None, "present"),
     ])
+
+
+def test_trees_are_written_by_many_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(archived.generated, "each", lambda rows, _: tasks.append(rows.rdd.getNumPartitions()))
+    monkeypatch.setattr(archived.sources, "exported_tree", lambda *_, **__: None)
+    archived.tree_of(spark.createDataFrame([("a", "s", 1, "x@y", "t", "text/plain", "A")], "id string, subject string, internal_date_ms long, sender string, body_text string, body_mime_type string, label_ids string"))
+    assert tasks == [4 * spark.sparkContext.defaultParallelism]
+    ddl = "id string, subject string, date string, sender string, recipient string, cc string, bcc string, body_text string, body_html string, attachments array<struct<filename string, mime_type string, content_id string, content binary>>, label_names array<string>"
+    a, b = [("a", "s", None, "J <j@x>", None, None, None, "t", None, [], ["L"])], [("a", "s", None, "J <k@x>", None, None, None, "t\n", None, [], ["M"])]
+    got = verify.tree_differences(kept(spark, spark.createDataFrame(a, ddl), tmp_path / "a"), kept(spark, spark.createDataFrame(b, ddl), tmp_path / "b"))
+    assert leaves(got) == 2 and sorted(map(tuple, got.collect())) == [("a", "labels", "L", "M"), ("a", "sender", "J <j@x>", "J <k@x>")]
