@@ -131,3 +131,11 @@ def test_trees_are_written_by_many_tasks_and_read_once(spark, tmp_path, monkeypa
     a, b = [("a", "s", None, "J <j@x>", None, None, None, "t", None, [], ["L"])], [("a", "s", None, "J <k@x>", None, None, None, "t\n", None, [], ["M"])]
     got = verify.tree_differences(kept(spark, spark.createDataFrame(a, ddl), tmp_path / "a"), kept(spark, spark.createDataFrame(b, ddl), tmp_path / "b"))
     assert leaves(got) == 2 and sorted(map(tuple, got.collect())) == [("a", "labels", "L", "M"), ("a", "sender", "J <j@x>", "J <k@x>")]
+
+
+def test_a_batch_is_made_of_messages_alone(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(archived.Archive, "take", lambda _, rows: taken.append(rows))
+    archived.taken(spark, "/root/testdata/sf0.001")
+    tables = [{f.rsplit("/", 1)[1].split(".")[0] for f in rows.inputFiles()} for rows in taken]
+    assert tables == [{"orders", "customer", "lineitem", "supplier"}, {"orders", "customer"}]
